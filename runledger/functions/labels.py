@@ -162,4 +162,4 @@ def run_state_text(life_cycle: Column, result: Column) -> Column:
 
 
 def pareto_label(on_front: Column) -> Column:
-    return F.when(on_front, F.lit("Pareto")).otherwise(F.lit("Dominated"))
+    return F.when(on_front, F.lit("Pareto optimal")).otherwise(F.lit("Dominated"))

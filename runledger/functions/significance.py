@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 
 def t_two_sided(t: float, df: int) -> float:
-    """P(|T| >= |t|) from the finite series for whole degrees of freedom."""
+    """P(|T| >= |t|): the finite series for whole degrees of freedom, Wallace's normal transform for large ones."""
+    if df > 2000:
+        z = math.sqrt(df * math.log1p(t * t / df)) * (8 * df + 1) / (8 * df + 3)
+        return math.erfc(z / math.sqrt(2))
     angle = math.atan(abs(t) / math.sqrt(df))
     cos, sin = math.cos(angle), math.sin(angle)
     first, term = (1, cos) if df % 2 else (0, 1.0)
