@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
@@ -27,9 +27,9 @@ def _whole(low: int, high: int, seed: int) -> Column:
     return F.lit(low) + F.floor(F.rand(seed) * (high - low))
 
 
-def generate_events(spark: SparkSession, rows: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """Events with log-normal payloads, clipped normal latency, 15 % purchases and 4 % errors."""
-    ids = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
+def generate_events(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """One event per row of ids (spark.range, or any table): log-normal payloads, clipped
+    normal latency, 15 % purchases and 4 % errors."""
     second = F.floor(F.rand(seed) * (fv.EVENT_DAYS * 86400))
     payload = F.floor(F.exp(F.lit(6.0) + F.lit(0.8) * F.randn(seed + 1)))
     latency = F.lit(180.0) + F.lit(75.0) * F.randn(seed + 2)

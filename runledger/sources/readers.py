@@ -10,7 +10,6 @@ from runledger import schemas
 from runledger.operators.cleaning import newest_rows, require_columns
 
 VM_RUN_KEY = ["Region", "VM_Size", "Nodes", "Dataset_Size_MB", "Workload", "Run_Number"]
-_CORRUPT = "_corrupt_record"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -28,16 +27,20 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.RUNS)
 
 
-def read_csv_split(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines): lines with too many fields are rejected, short lines padded with nulls."""
-    marked = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    raw = spark.read.schema(marked).option("header", True).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
-    unquoted = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
-    too_long = F.coalesce(F.size(F.split(unquoted, ",")) > len(schema.fields), F.lit(False))
-    raw = raw.withColumn("_rejected", too_long)
-    rows = raw.filter(~F.col("_rejected")).drop(_CORRUPT, "_rejected")
-    rejected = raw.filter("_rejected").select(F.col(_CORRUPT).alias("line"))
-    return rows, rejected
+def read_csv_split(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines): lines with too many fields are rejected, short lines padded with nulls.
+
+    Fields are counted on the line itself, outside quotes, because the CSV
+    reader marks long and short lines alike. One record per line.
+    """
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.filter(F.col("value") != ",".join(schema.names))
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    too_long = F.size(F.split(unquoted, ",")) > len(schema.fields)
+    parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "))
+    rows = lines.filter(~too_long).select(parsed.alias("r")).select("r.*")
+    return rows, lines.filter(too_long).select(F.col("value").alias("line"))
 
 
 def read_result_drops(spark: SparkSession, folder: str, schema: T.StructType = schemas.VM_RESULTS) -> DataFrame:
