@@ -54,7 +54,7 @@ def _(t):
     tail = F.when(F.col("l_tax") == 0.08, ",1,2").when(F.col("l_tax") == 0.07, "").otherwise(F.concat(F.lit(","), F.col("l_orderkey").cast("string")))
     path = new_path(t.spark, "lines")
     t("lineitem").select(F.concat(F.lit('"a, b"'), tail).alias("value")).write.text(path)
-    schema = schemas.T.StructType.fromDDL("label string, number double")
+    schema = schemas.T.StructType().add("label", "string").add("number", "double")
     rows, rejected = readers.read_csv_split(t.spark, path, schema, header=False)
     kinds = rows.select(F.when(F.col("number").isNull(), "short").otherwise("whole").alias("kind"), "number").unionByName(
         rejected.select(F.lit("rejected").alias("kind"), F.lit(None).cast("double").alias("number"))
@@ -378,7 +378,7 @@ LAST_STATUS = "arg_max(Exit_Status, (Timestamp, Exit_Status))"
 def _(t):
     path = new_path(t.spark, "retry")
     sinks.write_retry_lists(_audited(t), path)
-    schema = schemas.T.StructType([*schemas.RETRY_LIST.fields, *schemas.T.StructType.fromDDL("region string, vm_size string, nodes int").fields])
+    schema = schemas.T.StructType([*schemas.RETRY_LIST.fields, *schemas.COMBO_STATUS.fields[:3]])
     return t.spark.read.schema(schema).option("header", True).csv(path).groupBy("region", "vm_size", "nodes").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("Dataset_Size_MB").alias("megabytes")
     )

@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def t_two_sided(t: float, df: int) -> float:
@@ -59,13 +60,13 @@ def signed_rank_p(statistic: float, n: int, ties: bool, tie_term: float) -> floa
     return float(math.erfc(abs(z) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical_95(df: pd.Series) -> pd.Series:
     table = {d: t_quantile(0.95, int(d)) for d in df.dropna().unique()}
     return df.map(table)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) or pd.isna(b) else 0.0 if math.isinf(a) else t_two_sided(a, int(b)) for a, b in zip(t, df)],
@@ -73,7 +74,7 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_p_value(statistic: pd.Series, n: pd.Series, ties: pd.Series, tie_term: pd.Series) -> pd.Series:
     return pd.Series(
         [

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runledger import schemas
+
 REPORT_ROWS = 100_000
 
 
@@ -75,11 +77,6 @@ def write_retry_lists(audited: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").partitionBy("region", "vm_size", "nodes").option("header", True).csv(path)
 
 
-METRIC = T.StructType.fromDDL(
-    "workload string, input_path string, output_path string, rows bigint, runtime_seconds double"
-)
-
-
 def write_measured(df: DataFrame, path: str, workload: str, input_path: str, metrics_path: str | None = None) -> DataFrame:
     """Write df as Parquet and return its job metric row.
 
@@ -89,7 +86,7 @@ def write_measured(df: DataFrame, path: str, workload: str, input_path: str, met
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     seconds = round(time.monotonic() - started, 3)
-    row = df.sparkSession.createDataFrame([(workload, input_path, path, seen.get["rows"], seconds)], METRIC)
+    row = df.sparkSession.createDataFrame([(workload, input_path, path, seen.get["rows"], seconds)], schemas.METRIC)
     if metrics_path:
         row.write.mode("append").json(metrics_path)
     return row
