@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["source_queries", "column_queries", "relational_queries", "planning_queries"]
+MODULES = ["source_queries", "column_queries", "relational_queries", "planning_queries", "model_queries"]
 
 
 def load() -> tuple[dict, dict]:

@@ -43,7 +43,7 @@ def _(t):
 _RANKED = """(SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 12), k2, k3, k4, k5, k6, cloud, region, machine_type, nodes, electricity_zone) AS rank FROM (
   SELECT *, CASE goal WHEN 'cost' THEN cost WHEN 'runtime' THEN rt WHEN 'carbon' THEN em ELSE em END AS k2, CASE goal WHEN 'cost' THEN rt WHEN 'runtime' THEN cost WHEN 'carbon' THEN ci ELSE cost END AS k3,
     CASE goal WHEN 'cost' THEN ci WHEN 'runtime' THEN ci WHEN 'carbon' THEN -re ELSE rt END AS k4, CASE goal WHEN 'carbon' THEN cost WHEN 'balanced' THEN 0 ELSE -re END AS k5, CASE goal WHEN 'carbon' THEN rt ELSE 0 END AS k6,
-    CASE goal WHEN 'cost' THEN (cost - cost0) / (cost1 - cost0) WHEN 'runtime' THEN (rt - rt0) / (rt1 - rt0) WHEN 'carbon' THEN (em - em0) / (em1 - em0) + 0.25e0 * (1 - (re - re0) / (re1 - re0))
+    CASE goal WHEN 'cost' THEN CASE WHEN cost1 = cost0 THEN 0 ELSE (cost - cost0) / (cost1 - cost0) END WHEN 'runtime' THEN CASE WHEN rt1 = rt0 THEN 0 ELSE (rt - rt0) / (rt1 - rt0) END WHEN 'carbon' THEN CASE WHEN em1 = em0 THEN 0 ELSE (em - em0) / (em1 - em0) END + 0.25e0 * (1 - CASE WHEN re1 = re0 THEN 0 ELSE (re - re0) / (re1 - re0) END)
       ELSE sqrt(0.35e0 * ((rt - rt0) / rt0)**2 + 0.35e0 * ((cost - cost0) / cost0)**2 + 0.2e0 * ((em - em0) / em0)**2 + 0.1e0 * ((re1 - re) / re1)**2) END AS score
   FROM (SELECT q.*, s.cloud, s.region, s.machine_type, s.nodes, s.electricity_zone, s.rt, s.cost, s.em, s.ci, s.re, no_sla,
       MIN(rt) OVER p AS rt0, MAX(rt) OVER p AS rt1, MIN(cost) OVER p AS cost0, MAX(cost) OVER p AS cost1, MIN(em) OVER p AS em0, MAX(em) OVER p AS em1, MIN(re) OVER p AS re0, MAX(re) OVER p AS re1
@@ -186,22 +186,22 @@ def _(t):
     return rounded(evaluation.ground_truth(t("dataset")).drop("carbon_intensity_mean", "renewable_percentage_mean"))
 
 
-@query("e8_historical_mean", f"WITH {_TRUTH}, {_HIST} SELECT {_S}, {CONFIG_SQL}, round(h_rt + 2e-9, 6) AS historical_runtime, round(h_cost + 2e-9, 6) AS historical_cost FROM h")
+@query("e8_historical_mean", f"WITH {_TRUTH}, {_HIST} SELECT {_S}, {CONFIG_SQL}, round(h_rt + 3e-10, 6) AS historical_runtime, round(h_cost + 3e-10, 6) AS historical_cost FROM h")
 def _(t):
-    return rounded(evaluation.historical_mean(stage(evaluation.cells(t("dataset")))), nudge=2e-9, skip=("dataset_size_mb",))
+    return rounded(evaluation.historical_mean(stage(evaluation.cells(t("dataset")))), nudge=3e-10, skip=("dataset_size_mb",))
 
 
-@query("e9_nearest_size", f"WITH {_TRUTH}, {_NEAR} SELECT {_S}, {CONFIG_SQL}, round(near.rt, 6) AS nearest_runtime, round(near.cost, 6) AS nearest_cost FROM n")
+@query("e9_nearest_size", f"WITH {_TRUTH}, {_NEAR} SELECT {_S}, {CONFIG_SQL}, round(near.rt + 3e-10, 6) AS nearest_runtime, round(near.cost + 3e-10, 6) AS nearest_cost FROM n")
 def _(t):
-    return rounded(evaluation.nearest_size(stage(evaluation.cells(t("dataset")))))
+    return rounded(evaluation.nearest_size(stage(evaluation.cells(t("dataset")))), nudge=3e-10, skip=("dataset_size_mb",))
 
 
 @query("e15_left_out_scenarios", f"""
-    SELECT s.{_S.replace(', ', ', s.')}, COUNT(*) AS training_rows, round(AVG(d.runtime_minutes) + 2e-9, 6) AS runtime_other, round(AVG(d.cost_usd) + 2e-9, 6) AS cost_other
+    SELECT s.{_S.replace(', ', ', s.')}, COUNT(*) AS training_rows, round(AVG(d.runtime_minutes) + 3e-10, 6) AS runtime_other, round(AVG(d.cost_usd) + 3e-10, 6) AS cost_other
     FROM (SELECT DISTINCT {_S} FROM {{dataset}}) s JOIN {{dataset}} d ON NOT (s.workload_type = d.workload_type AND s.dataset_size_mb = d.dataset_size_mb) GROUP BY 1, 2
 """)
 def _(t):
-    return rounded(evaluation.scenario_left_out_means(stage(evaluation.cells(t("dataset")))), nudge=2e-9, skip=("dataset_size_mb",))
+    return rounded(evaluation.scenario_left_out_means(stage(evaluation.cells(t("dataset")))), nudge=3e-10, skip=("dataset_size_mb",))
 
 
 @query("f20_sla_thresholds", f"WITH {_TRUTH}, {_SLA} SELECT {_S}, sla_level, round(sla, 6) AS sla FROM thr")
@@ -293,7 +293,7 @@ _REPEATS = f"g AS (SELECT {_S}, {CONFIG_SQL}, COUNT(*) AS runs, AVG(runtime_minu
 
 
 @query("f17_repeatability", f"""WITH RECURSIVE {_REPEATS}, dfs AS (SELECT DISTINCT runs - 1 AS df FROM g), {_CRITICAL}
-    SELECT {_S}, {CONFIG_SQL}, runs, round(m + 2e-9, 4) AS mean_runtime_minutes, round(s, 4) AS std_runtime_minutes, round(s / m * 100, 2) AS coefficient_of_variation_pct, round(m - c * s / sqrt(runs), 4) AS ci95_lower, round(m + c * s / sqrt(runs), 4) AS ci95_upper,
+    SELECT {_S}, {CONFIG_SQL}, runs, round(round(m, 9), 4) AS mean_runtime_minutes, round(s, 4) AS std_runtime_minutes, round(s / m * 100, 2) AS coefficient_of_variation_pct, round(m - c * s / sqrt(runs), 4) AS ci95_lower, round(m + c * s / sqrt(runs), 4) AS ci95_upper,
       round(lo, 4) AS min_runtime_minutes, round(hi, 4) AS max_runtime_minutes FROM g JOIN crit ON crit.df = runs - 1""")
 def _(t):
     return statistics.repeatability(t("dataset"))

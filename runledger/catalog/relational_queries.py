@@ -481,9 +481,9 @@ def _(t):
     return profile.text_profile(t("raw_runs"), ["workload_type", "machine_type", "source"])
 
 
-@query("f13_grouped_summary", "SELECT dataset_size_mb, workload_type, machine_type, nodes, round(AVG(runtime_minutes) + 2e-9, 6) AS runtime_mean, round(AVG(cost_usd) + 2e-9, 6) AS cost_mean, COUNT(runtime_minutes) AS runs FROM (SELECT * REPLACE (CAST(dataset_size_mb AS DOUBLE) AS dataset_size_mb) FROM {runs}) GROUP BY 1, 2, 3, 4")
+@query("f13_grouped_summary", "SELECT dataset_size_mb, workload_type, machine_type, nodes, round(AVG(runtime_minutes) + 3e-10, 6) AS runtime_mean, round(AVG(cost_usd) + 3e-10, 6) AS cost_mean, COUNT(runtime_minutes) AS runs FROM (SELECT * REPLACE (CAST(dataset_size_mb AS DOUBLE) AS dataset_size_mb) FROM {runs}) GROUP BY 1, 2, 3, 4")
 def _(t):
-    return rounded(profile.grouped_summary(t("runs").withColumn("dataset_size_mb", F.col("dataset_size_mb").cast("double"))), nudge=2e-9, skip=("dataset_size_mb",))
+    return rounded(profile.grouped_summary(t("runs").withColumn("dataset_size_mb", F.col("dataset_size_mb").cast("double"))), nudge=3e-10, skip=("dataset_size_mb",))
 
 
 @query("f14_mean_cost", "SELECT workload_type, machine_type, round(AVG(cost_usd), 6) AS cost_usd FROM {runs} GROUP BY 1, 2")
@@ -496,9 +496,9 @@ def _(t):
     return rounded(profile.runtime_box(t("runs")))
 
 
-@query("f14_runtime_by_size", "SELECT workload_type, machine_type, nodes, dataset_size_mb, round(AVG(runtime_minutes) + 2e-9, 6) AS runtime_minutes FROM {runs} GROUP BY 1, 2, 3, 4")
+@query("f14_runtime_by_size", "SELECT workload_type, machine_type, nodes, dataset_size_mb, round(AVG(runtime_minutes) + 3e-10, 6) AS runtime_minutes FROM {runs} GROUP BY 1, 2, 3, 4")
 def _(t):
-    return rounded(profile.runtime_by_size(t("runs")), nudge=2e-9)
+    return rounded(profile.runtime_by_size(t("runs")), nudge=3e-10)
 
 
 @query("f14_scatter_rows", "SELECT workload_type, COUNT(*) AS points, round(SUM(runtime_minutes), 3) AS minutes, round(SUM(cost_usd), 3) AS cost FROM {runs} GROUP BY 1")

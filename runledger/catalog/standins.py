@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runledger.session import new_path
+
 _SIZE = (
     "CASE {c} WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 500 WHEN 4 THEN 1024 "
     "WHEN 5 THEN 2048 WHEN 6 THEN 3072 ELSE 5120 END"
@@ -163,6 +165,10 @@ STANDINS = {
         GROUP BY 1, 2, 3, 4, 5, 6, 7
     """,
 }
+# Stand-ins that several queries share are written once per session, as the run
+# store of a deployment would be; the others are views.
+TABLES = {"runs", "readings", "dataset", "vm_results", "event_log"}
+_WRITTEN: dict[tuple, str] = {}
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -175,7 +181,12 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name not in STANDINS:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self.sql(STANDINS[name])
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if name in TABLES and key not in _WRITTEN:
+            path = new_path(self.spark, name)
+            self.sql(STANDINS[name]).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key]) if name in TABLES else self.sql(STANDINS[name])
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self(n) for n in set(_NAME.findall(text))})

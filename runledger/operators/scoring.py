@@ -108,14 +108,28 @@ def candidate_configs(runs: DataFrame) -> DataFrame:
     return configs.join(carbon, ["cloud", "region"], "left")
 
 
-def expand_requests(requests: DataFrame, candidates: DataFrame) -> DataFrame:
+def expand_requests(requests: DataFrame, candidates: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every request with all candidates of its workload.
 
     Requests are spread by request_id first: joined with a broadcast side the
     rows keep that partitioning, and the later windows need no shuffle of the
-    expanded rows.
+    expanded rows. The number of tasks is stated because the adaptive planner
+    would size them by the few request rows, not by what they expand to.
     """
-    return requests.repartition("request_id").join(candidates, "workload_type")
+    tasks = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(tasks, "request_id").join(candidates, "workload_type")
+
+
+def with_effective_sla(requests: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """effective_sla: the greatest predicted runtime of the request's candidates that its SLA admits, null if none.
+
+    Requests of equal workload, goal and effective SLA admit the same candidates
+    and so share one ranking.
+    """
+    runtimes = F.sort_array(F.collect_set("predicted_runtime_minutes")).alias("_runtimes")
+    listed = scored.groupBy(*keys).agg(runtimes)
+    admitted = F.filter("_runtimes", lambda minutes: minutes <= F.col("sla_runtime_minutes"))
+    return requests.join(listed, keys).withColumn("effective_sla", F.array_max(admitted)).drop("_runtimes")
 
 
 def predicted_emissions(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
+from runledger.functions import measures
 from runledger.functions.labels import fold_of, group_key
 from runledger.functions.significance import t_critical_95, t_p_value, wilcoxon_p_value
 from runledger.operators.quantiles import exact_quantiles
@@ -22,7 +23,7 @@ def repeat_statistics(runs: DataFrame) -> DataFrame:
         runs.dropna(subset=keys)
         .groupBy(*keys)
         .agg(
-            F.count(x).alias("runs"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.count(x).alias("runs"), measures.mean_of(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("least"), F.max(x).alias("greatest"),
         )
         .filter("runs >= 2")

@@ -13,7 +13,7 @@ from runledger.operators import cleaning, enrich, scoring
 from runledger.session import stage
 
 Predictor = Callable[[DataFrame], DataFrame]
-PREDICTED = ["predicted_runtime_minutes", "predicted_cost_usd"]
+SHARED_CANDIDATES = 20_000
 
 
 def workload_means(runs: DataFrame) -> DataFrame:
@@ -41,13 +41,36 @@ def recommend(requests: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
 
     requests has request_id, workload_type, dataset_size_mb, sla_runtime_minutes,
     goal. If scored has dataset_size_mb (a size-aware predictor), sizes must match too.
+
+    What a request gets depends on its goal and on which candidates its SLA
+    admits, and an SLA admits a prefix of the candidates in order of runtime.
+    So each (scenario, goal, prefix) is ranked once, however many requests
+    share it, and the requests only look their list up: they are neither
+    expanded nor shuffled. With more than SHARED_CANDIDATES candidates the
+    prefixes are no longer few, and every request is ranked by itself.
     """
     asked = requests.withColumn("goal", labels.goal("goal"))
-    if "dataset_size_mb" in scored.columns:
-        offered = asked.repartition("request_id").join(scored, fv.SCENARIO)
-    else:
-        offered = scoring.expand_requests(asked, scored)
-    return scoring.top_n(scoring.rank_candidates(offered), n)
+    keys = fv.SCENARIO if "dataset_size_mb" in scored.columns else ["workload_type"]
+    if scored.limit(SHARED_CANDIDATES + 1).count() > SHARED_CANDIDATES:
+        offered = scoring.expand_requests(asked, scored) if len(keys) == 1 else asked.join(scored, keys)
+        return scoring.top_n(scoring.rank_candidates(offered), n)
+
+    placed = scoring.with_effective_sla(asked, scored, keys)
+    group = [*keys, "goal", "effective_sla"]
+    classes = placed.select(*group).distinct()
+    classes = classes.withColumn("sla_runtime_minutes", F.coalesce("effective_sla", F.lit(-1.0)))
+    expanded = classes.repartition(_tasks(classes), *group).join(scored, keys)
+    ranked = scoring.top_n(scoring.rank_candidates(expanded, group), n)
+    found = stage(ranked.drop("sla_runtime_minutes"), "ranked").withColumnRenamed("effective_sla", "_effective")
+    same = F.col("effective_sla").eqNullSafe(F.col("_effective"))
+    for name in (*keys, "goal"):
+        found = found.withColumnRenamed(name, f"_{name}")
+        same = same & (F.col(name) == F.col(f"_{name}"))
+    return placed.join(found, same).drop("_effective", "effective_sla", *[f"_{k}" for k in (*keys, "goal")])
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def best_candidate(requests: DataFrame, scored: DataFrame) -> DataFrame:
