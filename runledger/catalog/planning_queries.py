@@ -155,10 +155,15 @@ _S = "workload_type, dataset_size_mb"
 _TRUTH = f"""t AS (SELECT {_S}, {CONFIG_SQL}, electricity_zone, COUNT(*) AS runs, round(AVG(runtime_minutes), 9) AS rt, round(AVG(cost_usd), 9) AS cost,
     round(round(AVG(runtime_minutes), 9) / 60.0 * round(AVG(carbon_intensity_mean), 9), 9) AS em FROM {{dataset}} GROUP BY ALL)"""
 _SAME = "d.cloud = t.cloud AND d.region = t.region AND d.machine_type = t.machine_type AND d.nodes = t.nodes"
-_HIST = f"""h AS (SELECT t.{_S.replace(', ', ', t.')}, t.cloud, t.region, t.machine_type, t.nodes, greatest(round(AVG(d.runtime_minutes), 9), 0.01e0) AS h_rt, greatest(round(AVG(d.cost_usd), 9), 0e0) AS h_cost
-    FROM t JOIN {{dataset}} d ON {_SAME} AND NOT (d.workload_type = t.workload_type AND d.dataset_size_mb = t.dataset_size_mb) GROUP BY ALL)"""
-_NEAR = f"""n AS (SELECT t.{_S.replace(', ', ', t.')}, t.cloud, t.region, t.machine_type, t.nodes, arg_min(struct_pack(rt := d.runtime_minutes, cost := d.cost_usd), (abs(d.dataset_size_mb - t.dataset_size_mb), d.dataset_size_mb, d.runtime_minutes, d.cost_usd)) AS near
-    FROM t JOIN {{dataset}} d ON {_SAME} AND d.workload_type = t.workload_type AND d.dataset_size_mb <> t.dataset_size_mb GROUP BY ALL)"""
+_OTHER = f"""o AS (SELECT s.workload_type, s.dataset_size_mb, round(AVG(d.runtime_minutes), 9) AS o_rt, round(AVG(d.cost_usd), 9) AS o_cost FROM (SELECT DISTINCT {_S} FROM t) s
+    JOIN {{dataset}} d ON NOT (d.workload_type = s.workload_type AND d.dataset_size_mb = s.dataset_size_mb) GROUP BY 1, 2)"""
+_HIST = f"""{_OTHER}, h AS (SELECT t.{_S.replace(', ', ', t.')}, t.cloud, t.region, t.machine_type, t.nodes, greatest(coalesce(round(AVG(d.runtime_minutes), 9), any_value(o_rt)), 0.01e0) AS h_rt, greatest(coalesce(round(AVG(d.cost_usd), 9), any_value(o_cost)), 0e0) AS h_cost
+    FROM t JOIN o ON o.workload_type = t.workload_type AND o.dataset_size_mb = t.dataset_size_mb LEFT JOIN {{dataset}} d ON {_SAME} AND NOT (d.workload_type = t.workload_type AND d.dataset_size_mb = t.dataset_size_mb) GROUP BY ALL)"""
+_NEAREST_RUN = "arg_min(struct_pack(rt := d.runtime_minutes, cost := d.cost_usd), (abs(d.dataset_size_mb - t.dataset_size_mb), d.dataset_size_mb, d.runtime_minutes, d.cost_usd))"
+_NEAR = f"""near_own AS (SELECT t.{_S.replace(', ', ', t.')}, t.cloud, t.region, t.machine_type, t.nodes, {_NEAREST_RUN} AS near FROM t JOIN {{dataset}} d ON {_SAME} AND d.workload_type = t.workload_type AND d.dataset_size_mb <> t.dataset_size_mb GROUP BY ALL),
+  near_any AS (SELECT t.workload_type, t.dataset_size_mb, {_NEAREST_RUN} AS near FROM (SELECT DISTINCT {_S} FROM t) t JOIN {{dataset}} d ON d.workload_type = t.workload_type AND d.dataset_size_mb <> t.dataset_size_mb GROUP BY ALL),
+  n AS (SELECT t.{_S.replace(', ', ', t.')}, t.cloud, t.region, t.machine_type, t.nodes, struct_pack(rt := coalesce(near_own.near.rt, near_any.near.rt, o_rt), cost := coalesce(near_own.near.cost, near_any.near.cost, o_cost)) AS near
+    FROM t JOIN o USING ({_S}) LEFT JOIN near_own USING ({_S}, {CONFIG_SQL}) LEFT JOIN near_any USING ({_S}))"""
 _SLA = f"""thr AS (SELECT {_S}, unnest(['tight', 'medium', 'loose']) AS sla_level, unnest([quantile_cont(rt, 0.25), quantile_cont(rt, 0.5), quantile_cont(rt, 0.75)]) AS sla FROM t GROUP BY 1, 2)"""
 _BEST = f"""b AS (SELECT thr.workload_type, thr.dataset_size_mb, sla_level, sla, COUNT(*) AS feasible, MIN(cost) AS b_cost, MIN(rt) AS b_rt, MIN(em) AS b_em, arg_min(struct_pack(cloud := cloud, region := region, m := machine_type, n := nodes), (cost, cloud, region, machine_type, nodes)) AS opt
     FROM t JOIN thr ON t.workload_type = thr.workload_type AND t.dataset_size_mb = thr.dataset_size_mb WHERE rt <= sla GROUP BY 1, 2, 3, 4)"""
@@ -191,7 +196,7 @@ def _(t):
     return rounded(evaluation.historical_mean(stage(evaluation.cells(t("dataset")))), nudge=3e-10, skip=("dataset_size_mb",))
 
 
-@query("e9_nearest_size", f"WITH {_TRUTH}, {_NEAR} SELECT {_S}, {CONFIG_SQL}, round(near.rt + 3e-10, 6) AS nearest_runtime, round(near.cost + 3e-10, 6) AS nearest_cost FROM n")
+@query("e9_nearest_size", f"WITH {_TRUTH}, {_OTHER}, {_NEAR} SELECT {_S}, {CONFIG_SQL}, round(near.rt + 3e-10, 6) AS nearest_runtime, round(near.cost + 3e-10, 6) AS nearest_cost FROM n")
 def _(t):
     return rounded(evaluation.nearest_size(stage(evaluation.cells(t("dataset")))), nudge=3e-10, skip=("dataset_size_mb",))
 
