@@ -54,7 +54,7 @@ _ALL = _RANKED.replace("{asked}", "{{requests}}").replace("{{", "{").replace("}}
 
 
 def _scored(t):
-    return recommend.scored_candidates(t("dataset"), t("power"), t("vcpus"))
+    return t.shared("scored", lambda: recommend.scored_candidates(t("dataset"), t("power"), t("vcpus")))
 
 
 @query("k6_recommendations", f"SELECT request_id, rank, {CONFIG_SQL}, round(score, 6) AS optimization_score, round(rt, 6) AS predicted_runtime_minutes, round(em, 6) AS predicted_emissions_gco2eq, no_sla AS no_sla_match FROM {_ALL} WHERE rank <= 5")
@@ -222,7 +222,7 @@ def _(t):
 
 
 def _quality(t):
-    return evaluation.quality_detail(t("dataset"))
+    return t.shared("quality", lambda: evaluation.quality_detail(t("dataset")))
 
 
 _KEY = f"{_S}, sla_level, method"
@@ -343,12 +343,16 @@ _PER_FOLD = f"""d AS (SELECT *, {_FOLD} AS fold FROM {{dataset}}), f AS (SELECT
 
 
 def per_fold(t):
+    return t.shared("per-fold", lambda: _per_fold(t))
+
+
+def _per_fold(t):
     runs = t("dataset")
     blocks = [statistics.left_out_fold_means(runs, name, keys) for name, keys in MEAN_MODELS.items()]
     rows = blocks[0]
     for block in blocks[1:]:
         rows = rows.unionByName(block)
-    return stage(statistics.regression_metrics(rows, ["model", "fold", "target"]), "per-fold")
+    return statistics.regression_metrics(rows, ["model", "fold", "target"])
 
 
 @query("f18_fold_metrics", f"WITH {_PER_FOLD} SELECT model, fold, target, n_test, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM pf")

@@ -305,7 +305,7 @@ _CONFIG_ROWS = "SELECT workload_type, dataset_size_mb, cloud, region, machine_ty
 
 
 def configs(t):
-    return carbon.configurations(t("dataset"), t("power"), t("vcpus"))
+    return t.shared("configurations", lambda: carbon.configurations(t("dataset"), t("power"), t("vcpus")))
 
 
 @query("f8_configurations", _CONFIG_ROWS)

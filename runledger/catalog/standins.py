@@ -8,10 +8,11 @@ of the library is written here.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.session import new_path
+from runledger.session import new_path, stage
 
 _SIZE = (
     "CASE {c} WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 500 WHEN 4 THEN 1024 "
@@ -169,6 +170,7 @@ STANDINS = {
 # store of a deployment would be; the others are views.
 TABLES = {"runs", "readings", "dataset", "vm_results", "event_log"}
 _WRITTEN: dict[tuple, str] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -188,10 +190,22 @@ class Inputs:
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key]) if name in TABLES else self.sql(STANDINS[name])
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table several queries select from, computed once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _SHARED:
+            _SHARED[key] = stage(build(), name)
+        return _SHARED[key]
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self(n) for n in set(_NAME.findall(text))})
 
 
+def clear_shared() -> None:
+    """Forget shared derived tables, so that the next query computes its own."""
+    _SHARED.clear()
+
+
 def oracle(text: str) -> str:
     """The query with every stand-in it uses as a preceding WITH entry."""
     order: list[str] = []

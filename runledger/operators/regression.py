@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -185,26 +186,37 @@ def feature_importances(models: Models, sample: DataFrame) -> DataFrame | None:
     )
 
 
-def cross_validate(dataset: DataFrame, model_types: list[str] | None = None, folds: int = 5, **overrides: dict) -> DataFrame:
+def _in_parallel(spark, work, items: list, parallelism: int) -> list:
+    """work(item) for every item, a few at a time: one small fit does not fill a cluster."""
+    task = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(task, items))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def cross_validate(dataset: DataFrame, model_types: list[str] | None = None, folds: int = 5, parallelism: int = 4, **overrides: dict) -> DataFrame:
     """MAE, RMSE and R2 per model, fold and target under grouped folds.
 
-    Folds and models are fitted one after another, each fit being a
-    distributed job; the predictions of all of them are measured together.
+    Each fit is a distributed job; the predictions of all folds and models are
+    measured together.
     """
     rows = model_rows(dataset)
     effective = statistics.fold_count(rows, folds).first()["folds"]
     marked = stage(statistics.with_folds(rows, effective), "folds")
-    blocks = []
-    for fold in range(1, effective + 1):
+
+    def fold_predictions(fold: int) -> DataFrame:
         cells = training_cells(marked.filter(F.col("fold") != fold))
         test = marked.filter(F.col("fold") == fold)
-        for model_type in model_types or list(LABELS):
-            predicted = predicted_rows(test, fit(cells, model_type, **overrides.get(model_type, {})))
-            blocks.append(long_predictions(predicted, "fold").withColumn("model", F.lit(model_type)))
-    joined = blocks[0]
-    for block in blocks[1:]:
-        joined = joined.unionByName(block)
-    return statistics.regression_metrics(joined, ["model", "fold", "target"])
+        return _union([
+            long_predictions(predicted_rows(test, fit(cells, m, **overrides.get(m, {}))), "fold").withColumn("model", F.lit(m))
+            for m in model_types or list(LABELS)
+        ])
+
+    blocks = _in_parallel(dataset.sparkSession, fold_predictions, list(range(1, effective + 1)), parallelism)
+    return statistics.regression_metrics(_union(blocks), ["model", "fold", "target"])
 
 
 def best_model(per_fold: DataFrame) -> DataFrame:
@@ -254,20 +266,22 @@ def load(path: str) -> Models:
     return {t: PipelineModel.load(f"{path}/{t}") for t in fv.TARGETS}
 
 
-def left_out_predictions(dataset: DataFrame, model_type: str, name: str | None = None, **overrides) -> DataFrame:
+def left_out_predictions(dataset: DataFrame, model_type: str, name: str | None = None, parallelism: int = 4, **overrides) -> DataFrame:
     """Predictions for every configuration of each scenario from a model fitted without that scenario.
 
-    One pair of fits per scenario; the scenarios are a list of labels and sizes
-    read from the collapsed cells.
+    One pair of fits per scenario. The scenarios are the few labels and sizes
+    that were measured, read from the collapsed cells.
     """
     name = name or model_type
     cells = training_cells(model_rows(dataset))
-    blocks = None
-    for scenario in cells.select(*fv.SCENARIO).distinct().toLocalIterator():
+    scenarios = [tuple(row) for row in cells.select(*fv.SCENARIO).distinct().toLocalIterator()]
+
+    def scenario_predictions(scenario: tuple) -> DataFrame:
         inside = (F.col("workload_type") == scenario[0]) & (F.col("dataset_size_mb") == scenario[1])
         models = fit(cells.filter(~inside), model_type, **overrides)
-        scored = predict(models, cells.filter(inside).select(*fv.FEATURES))
-        blocks = scored if blocks is None else blocks.unionByName(scored)
+        return stage(predict(models, cells.filter(inside).select(*fv.FEATURES)), "left-out")
+
+    blocks = _union(_in_parallel(dataset.sparkSession, scenario_predictions, scenarios, parallelism))
     return blocks.groupBy(*fv.SCENARIO, *fv.CONFIG).agg(
         F.min(F.struct("electricity_zone", "predicted_runtime_minutes", "predicted_cost_usd")).alias("_p")
     ).select(
