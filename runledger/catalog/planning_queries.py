@@ -343,16 +343,11 @@ _PER_FOLD = f"""d AS (SELECT *, {_FOLD} AS fold FROM {{dataset}}), f AS (SELECT
 
 
 def per_fold(t):
-    return t.shared("per-fold", lambda: _per_fold(t))
+    def build():
+        rows = statistics.left_out_fold_predictions(t("dataset"), MEAN_MODELS)
+        return statistics.regression_metrics(rows, ["model", "fold", "target"])
 
-
-def _per_fold(t):
-    runs = t("dataset")
-    blocks = [statistics.left_out_fold_means(runs, name, keys) for name, keys in MEAN_MODELS.items()]
-    rows = blocks[0]
-    for block in blocks[1:]:
-        rows = rows.unionByName(block)
-    return statistics.regression_metrics(rows, ["model", "fold", "target"])
+    return t.shared("per-fold", build)
 
 
 @query("f18_fold_metrics", f"WITH {_PER_FOLD} SELECT model, fold, target, n_test, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM pf")

@@ -79,7 +79,7 @@ def _means_without(part: list[str], rest: list[str], table: DataFrame) -> DataFr
 def scenario_left_out_means(table: DataFrame) -> DataFrame:
     """Per scenario: number of other runs and their mean runtime and cost."""
     own = table.groupBy(*fv.SCENARIO).agg(*[F.sum(c).alias(c) for c in ("runs", "runtime_sum", "cost_sum")])
-    total = {c: own.agg(F.sum(c)).scalar() for c in ("runs", "runtime_sum", "cost_sum")}
+    total = own.agg(F.struct(*[F.sum(c).alias(c) for c in ("runs", "runtime_sum", "cost_sum")])).scalar()
     left = total["runs"] - F.col("runs")
     return own.select(
         *fv.SCENARIO,

@@ -128,8 +128,11 @@ def with_effective_sla(requests: DataFrame, scored: DataFrame, keys: list[str])
     """
     runtimes = F.sort_array(F.collect_set("predicted_runtime_minutes")).alias("_runtimes")
     listed = scored.groupBy(*keys).agg(runtimes)
-    admitted = F.filter("_runtimes", lambda minutes: minutes <= F.col("sla_runtime_minutes"))
-    return requests.join(listed, keys).withColumn("effective_sla", F.array_max(admitted)).drop("_runtimes")
+    sla = F.col("sla_runtime_minutes").cast("double")
+    ordered = F.sort_array(F.array_append("_runtimes", sla))
+    at = F.array_position(ordered, sla).cast("int")  # counted from 1: the SLA's own place among the runtimes
+    effective = F.when(F.get(ordered, at) == sla, sla).otherwise(F.get(ordered, at - 2))
+    return requests.join(listed, keys).withColumn("effective_sla", effective).drop("_runtimes")
 
 
 def predicted_emissions(df: DataFrame) -> DataFrame:

@@ -188,29 +188,54 @@ def significance_summary(tests: DataFrame) -> DataFrame:
     )
 
 
-def left_out_fold_means(runs: DataFrame, model: str, keys: list[str], folds: int = 5) -> DataFrame:
-    """Predictions of each run's targets by the mean of its keys over the other folds.
+def fold_cells(runs: DataFrame, folds: int = 5) -> DataFrame:
+    """Run count and target sums per group, with the group's fold; everything the fold means need."""
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in fv.TARGETS]]
+    return with_folds(runs.groupBy(*fv.GROUP).agg(*sums), folds)
+
+
+def left_out_fold_means(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean targets of each key over the folds other than each fold.
 
     The mean of the other folds is the key's total minus its own fold, so no
     fold is fitted separately. Keys seen in one fold only fall back to all
     runs of the other folds.
     """
-    data = with_folds(runs, folds)
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in fv.TARGETS]]
-    own = data.groupBy(*keys, "fold").agg(*sums)
-    whole = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(t).alias(f"_{t}") for t in fv.TARGETS])
-    fold = data.groupBy("fold").agg(*sums)
-    total = {c: fold.agg(F.sum(c)).scalar() for c in ("n", *fv.TARGETS)}
+    columns = ["n", *fv.TARGETS]
+    own = cells.groupBy(*keys, "fold").agg(*[F.sum(c).alias(c) for c in columns])
+    fold = cells.groupBy("fold").agg(*[F.sum(c).alias(c) for c in columns])
+    total = cells.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
     others = fold.select("fold", *[((total[t] - F.col(t)) / (total["n"] - F.col("n"))).alias(f"{t}_other") for t in fv.TARGETS])
+    if keys:
+        whole = cells.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+        own = own.join(whole, keys)
+    else:
+        own = own.withColumns({f"_{c}": total[c] for c in columns})
     rest = F.col("_n") - F.col("n")
 
     def hat(t: str) -> Column:
         return F.coalesce(F.when(rest > 0, (F.col(f"_{t}") - F.col(t)) / rest), F.col(f"{t}_other")).alias(f"{t}_hat")
 
-    keyed = own.join(whole, keys) if keys else own.withColumns({"_n": total["n"], **{f"_{t}": total[t] for t in fv.TARGETS}})
-    means = stage(keyed.join(others, "fold").select(*keys, "fold", *[hat(t) for t in fv.TARGETS]), "fold-means")
+    return own.join(others, "fold").select(*keys, "fold", *[hat(t) for t in fv.TARGETS])
+
+
+def left_out_fold_predictions(runs: DataFrame, models: dict[str, list[str]], folds: int = 5) -> DataFrame:
+    """(model, fold, target, actual, predicted) of every run for several key sets at once.
+
+    The runs are read twice: once into cells, once to meet the cells'
+    predictions, all models in one join.
+    """
+    cells = stage(fold_cells(runs, folds), "fold-cells")
+    table = cells.select(*fv.GROUP, "fold")
+    for name, keys in models.items():
+        means = left_out_fold_means(cells, keys).withColumnsRenamed({f"{t}_hat": f"_{name}_{t}" for t in fv.TARGETS})
+        table = table.join(means, [*keys, "fold"])
+    table = stage(table, "fold-predictions")
     rows = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("actual"), F.col(f"{t}_hat").alias("predicted"))
-        for t in fv.TARGETS
+        F.struct(
+            F.lit(name).alias("model"), F.lit(t).alias("target"), F.col(t).cast("double").alias("actual"),
+            F.col(f"_{name}_{t}").alias("predicted"),
+        )
+        for name in models for t in fv.TARGETS
     ]))
-    return data.join(means, [*keys, "fold"]).select(F.lit(model).alias("model"), "fold", rows.alias("_r")).select("model", "fold", "_r.*")
+    return runs.join(table, fv.GROUP).select("fold", rows.alias("_r")).select("_r.model", "fold", "_r.target", "_r.actual", "_r.predicted")
