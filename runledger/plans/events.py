@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.session import stage
 from runledger.sources.sinks import write_by_region
 
 PROFILE_KEYS = 50_000
@@ -55,18 +56,22 @@ def user_profiles(events: DataFrame) -> DataFrame:
 def profile_rollup(events: DataFrame) -> DataFrame:
     """Profile latency and revenue by region, event type and payload bucket, every event carrying its key's profile.
 
-    The events are read and shuffled once, as partial sums per key and output
-    group; the profile table adds up the same sums, and since a profile is
-    constant within its key, weighting it by the group's count equals joining
-    it to every event. Its at most 2 x 50,000 - 1 keys (remainders of a signed
-    number) are what bounds the broadcast.
+    The events are read and shuffled once, into partial sums per key and output
+    group. Those are written, since both the profiles and the roll-up need them
+    and column pruning would otherwise make two different scans of the events.
+    A profile is constant within its key, so weighting it by the group's count
+    equals joining it to every event. The broadcast is bounded by the at most
+    2 x 50,000 - 1 keys (remainders of a signed number).
     """
     group = ["region", "event_type", "payload_bucket"]
-    parts = bucketed_events(events).filter("join_key is not null").groupBy("join_key", *group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("response_time_ms").alias("timed"),
-        F.sum("response_time_ms").alias("latency"),
-        F.sum("amount_usd").alias("revenue"),
+    parts = stage(
+        bucketed_events(events).filter("join_key is not null").groupBy("join_key", *group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("response_time_ms").alias("timed"),
+            F.sum("response_time_ms").alias("latency"),
+            F.sum("amount_usd").alias("revenue"),
+        ),
+        "profile-parts",
     )
     profile = parts.groupBy("join_key").agg(
         (F.sum("latency") / F.nullif(F.sum("timed"), F.lit(0).cast("bigint"))).alias("user_avg_response"),
