@@ -326,7 +326,7 @@ def _(t):
 
 @query("e14_pareto_of_line_items", None)
 def _(t):
-    """Fronts over all single line items, one scenario per return flag and ship mode-like bucket: many rows, few scenarios."""
+    """Fronts over all single line items, one scenario per return flag: many rows, few scenarios."""
     items = t("lineitem").select(
         F.col("l_returnflag").alias("workload_type"), F.lit(1).alias("dataset_size_mb"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_extendedprice").alias("cost_usd"), (-F.col("l_quantity")).alias("runtime_minutes"), (-F.col("l_discount") - F.col("l_tax")).alias("emissions_gco2eq"),

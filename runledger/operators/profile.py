@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
 from runledger.functions import measures
-from runledger.operators.quantiles import exact_quantiles
+from runledger.operators.quantiles import narrowed_quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -16,7 +16,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per column.
 
     All columns share one scan: they become (column, value) rows that are
-    aggregated in the map tasks; the quartiles come from one range sort.
+    aggregated in the map tasks; the quartiles come from the rows around them.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     long = long.dropna(subset=["value"])
@@ -24,7 +24,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return moments.join(exact_quantiles(long, ["column"], "value", QUARTILES), "column")
+    return moments.join(narrowed_quantiles(long, ["column"], "value", QUARTILES), "column")
 
 
 def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def mean_cost_by_workload(df: DataFrame) -> DataFrame:
 
 def runtime_box(df: DataFrame) -> DataFrame:
     """Least, quartiles and greatest runtime by workload and machine."""
-    return exact_quantiles(df, ["workload_type", "machine_type"], "runtime_minutes", {"least": 0.0, **QUARTILES, "greatest": 1.0})
+    return narrowed_quantiles(df, ["workload_type", "machine_type"], "runtime_minutes", {"least": 0.0, **QUARTILES, "greatest": 1.0})
 
 
 def runtime_by_size(df: DataFrame) -> DataFrame:

@@ -68,13 +68,14 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def write_retry_lists(audited: DataFrame, path: str) -> None:
-    """The runs to repeat, one folder per region, size and node count."""
+    """The runs to repeat, one file per region, size and node count (a combination plans few runs)."""
     runs = audited.filter("retry").select(
         "region", "vm_size", "nodes",
         F.col("dataset_size_mb").alias("Dataset_Size_MB"), F.col("workload").alias("Workload"),
         F.col("run_number").alias("Run_Number"),
     )
-    runs.write.mode("overwrite").partitionBy("region", "vm_size", "nodes").option("header", True).csv(path)
+    combo = ["region", "vm_size", "nodes"]
+    runs.repartition(*combo).write.mode("overwrite").partitionBy(*combo).option("header", True).csv(path)
 
 
 def write_measured(df: DataFrame, path: str, workload: str, input_path: str, metrics_path: str | None = None) -> DataFrame:

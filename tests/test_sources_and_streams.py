@@ -167,3 +167,10 @@ def test_split_keeps_groups_together(spark):
 
 def test_shared_folder_is_the_one_of_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_rows_for_a_wanted_size(spark, tmp_path):
+    path = tmp_path / "events"
+    sinks.write_csv(generator.generate_events(spark.range(0, generator.rows_for_size(2), 1, 4)), str(path))
+    written = sum(f.stat().st_size for f in path.glob("*.csv"))
+    assert written == pytest.approx(2 * 1024 * 1024, rel=0.03)
