@@ -56,7 +56,7 @@ def test_enriched_stream_splits_and_can_be_repeated(spark, tmp_path):
 def test_malformed_lines(spark, tmp_path):
     path = str(tmp_path / "lines.csv")
     spark.createDataFrame([("a,b",), ('"x, y",1',), ("z",), ("1,2,3",), ("q,text",)], "value string").coalesce(1).write.text(path)
-    rows, rejected = readers.read_csv_split(spark, path, schemas.T.StructType().add("a", "string").add("b", "int"))
+    rows, rejected = readers.read_csv_split(spark, path, schemas.T.StructType().add("a", "string").add("b", "integer"))
     assert sorted((r.a, r.b) for r in rows.filter("b is not null or a in ('z', 'q')").fillna(-1).collect()) == [("q", -1), ("x, y", 1), ("z", -1)]
     assert [r.line for r in rejected.collect()] == ["1,2,3"]
 
