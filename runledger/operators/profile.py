@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
 from runledger.functions import measures
-from runledger.operators.quantiles import narrowed_quantiles
+from runledger.operators.quantiles import quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -24,7 +24,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return moments.join(narrowed_quantiles(long, ["column"], "value", QUARTILES), "column")
+    return moments.join(quantiles(long, ["column"], "value", QUARTILES), "column")
 
 
 def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def mean_cost_by_workload(df: DataFrame) -> DataFrame:
 
 def runtime_box(df: DataFrame) -> DataFrame:
     """Least, quartiles and greatest runtime by workload and machine."""
-    return narrowed_quantiles(df, ["workload_type", "machine_type"], "runtime_minutes", {"least": 0.0, **QUARTILES, "greatest": 1.0})
+    return quantiles(df, ["workload_type", "machine_type"], "runtime_minutes", {"least": 0.0, **QUARTILES, "greatest": 1.0})
 
 
 def runtime_by_size(df: DataFrame) -> DataFrame:

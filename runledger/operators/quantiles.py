@@ -16,6 +16,15 @@ _ACCURACY = 10_000
 _MARGIN = 10 / _ACCURACY  # ten times the error the sketch admits
 
 
+SORTED_ROWS = 20_000_000  # up to here sorting all rows is faster than three scans
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles: all rows are sorted up to SORTED_ROWS, beyond that only those around the wanted ranks."""
+    many = df.select(*keys, value).count() > SORTED_ROWS
+    return (narrowed_quantiles if many else exact_quantiles)(df, keys, value, probabilities)
+
+
 def narrowed_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """exact_quantiles for very many rows per key: only rows near the wanted ranks are shuffled.
 
