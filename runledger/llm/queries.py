@@ -55,7 +55,8 @@ def _url_sql() -> str:
     ) + " END"
     verdict_of = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{verdict}'" for rule, verdict in url_filter.RULES.items()) + " END"
     has = lambda term: f"regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
-    found = lambda terms: "list_filter([" + ", ".join(f"CASE WHEN {has(t)} THEN '{t}' END" for t in sorted(terms)) + "], x -> x IS NOT NULL)"
+    found = lambda terms: "concat_ws(',', " + ", ".join(f"CASE WHEN {has(t)} THEN '{t}' END" for t in sorted(terms)) + ")"
+    many = lambda terms: " + ".join(f"CASE WHEN {has(t)} THEN 1 ELSE 0 END" for t in sorted(terms))
     weight = " + ".join(f"CASE WHEN {has(t)} THEN {w} ELSE 0.0 END" for t, w in sorted(url_filter.SOFT.items()))
     lower = lambda text: f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
@@ -64,11 +65,11 @@ def _url_sql() -> str:
         ), split AS (
             SELECT page_id, low, {lower("split_part(rest, '/', 1)")} AS host, CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut
         ), judged AS (
-            SELECT page_id, host, path, {fits} AS rule, {found(url_filter.STRICT)} AS strict, {found(url_filter.SOFT)} AS soft, CAST({weight} AS DOUBLE) AS soft_weight FROM split
+            SELECT page_id, host, path, {fits} AS rule, {found(url_filter.STRICT)} AS strict_terms, {found(url_filter.SOFT)} AS soft_terms, {many(url_filter.STRICT)} AS n_strict, {many(url_filter.SOFT)} AS n_soft, CAST({weight} AS DOUBLE) AS soft_weight FROM split
         )
         SELECT page_id, host, path, rule,
-            coalesce({verdict_of}, CASE WHEN len(strict) > 0 OR (len(soft) >= {url_filter.LEAST_TERMS} AND soft_weight >= {url_filter.LEAST_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
-            coalesce(array_to_string(strict, ','), '') AS strict_terms, coalesce(array_to_string(soft, ','), '') AS soft_terms, soft_weight
+            coalesce({verdict_of}, CASE WHEN n_strict > 0 OR (n_soft >= {url_filter.LEAST_TERMS} AND soft_weight >= {url_filter.LEAST_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+            strict_terms, soft_terms, soft_weight
         FROM judged
     """
 

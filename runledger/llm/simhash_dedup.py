@@ -81,7 +81,7 @@ def gray_rank(f: Column) -> Column:
 
 
 def _segments(bits: list[int], parts: int) -> list[list[int]]:
-    return [list(x) for x in np.array_split(bits, parts)]
+    return [x.tolist() for x in np.array_split(bits, parts)]
 
 
 def buckets(nodes: DataFrame, distance: int = DISTANCE, limit: int = BUCKET_ROWS, deals: int = DEALS) -> DataFrame:
