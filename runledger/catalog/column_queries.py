@@ -10,6 +10,7 @@ from runledger.functions import labels, measures
 from runledger.operators import cleaning, enrich, gaps, pareto, scoring
 from runledger.plans import events as event_plans
 from runledger.plans import model_dataset
+from runledger.session import stage
 from runledger.sources import payloads
 
 
@@ -368,15 +369,14 @@ def _(t):
 
 
 @query("d4_sla_fallback", """
-    SELECT request_id, cloud, region, machine_type, nodes, no_sla_match FROM (
-      SELECT r.request_id, s.cloud, s.region, s.machine_type, s.nodes, s.predicted_runtime_minutes <= r.sla_runtime_minutes AS ok,
-        NOT bool_or(s.predicted_runtime_minutes <= r.sla_runtime_minutes) OVER (PARTITION BY r.request_id) AS no_sla_match
-      FROM (SELECT DISTINCT workload_type AS request_id, workload_type, CAST(CASE workload_type WHEN 'cpu-heavy' THEN 0.5 ELSE 2.5 END AS DOUBLE) AS sla_runtime_minutes FROM {requests}) r
-      JOIN {scored} s ON r.workload_type = s.workload_type) WHERE ok OR no_sla_match
+    SELECT request_id, COUNT(*) AS admitted, CAST(SUM(nodes) AS BIGINT) AS nodes, bool_or(no_sla_match) AS no_sla_match FROM (
+      SELECT r.request_id, s.nodes, (r.sla_runtime_minutes IS NULL OR s.predicted_runtime_minutes <= r.sla_runtime_minutes) AS ok,
+        NOT bool_or(r.sla_runtime_minutes IS NULL OR s.predicted_runtime_minutes <= r.sla_runtime_minutes) OVER (PARTITION BY r.request_id) AS no_sla_match
+      FROM {requests} r JOIN {scored} s ON r.workload_type = s.workload_type) WHERE ok OR no_sla_match GROUP BY 1
 """)
 def _(t):
-    asked = t.sql("SELECT DISTINCT workload_type AS request_id, workload_type, CAST(CASE workload_type WHEN 'cpu-heavy' THEN 0.5 ELSE 2.5 END AS DOUBLE) AS sla_runtime_minutes FROM {requests}")
-    return scoring.within_sla(asked.join(t("scored"), "workload_type")).select("request_id", *fv.CONFIG, "no_sla_match")
+    admitted = scoring.within_sla(t("requests").join(stage(t("scored")), "workload_type"))
+    return admitted.groupBy("request_id").agg(F.count(F.lit(1)).alias("admitted"), F.sum("nodes").alias("nodes"), F.bool_or("no_sla_match").alias("no_sla_match"))
 
 
 @query("d6_unknown_workloads", "SELECT COUNT(*) AS requests FROM {requests} q WHERE NOT EXISTS (SELECT 1 FROM {runs} r WHERE r.workload_type = q.workload_type AND r.workload_type <> 'io-heavy')")

@@ -47,7 +47,7 @@ _RANKED = """(SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY roun
       ELSE sqrt(0.35e0 * ((rt - rt0) / rt0)**2 + 0.35e0 * ((cost - cost0) / cost0)**2 + 0.2e0 * ((em - em0) / em0)**2 + 0.1e0 * ((re1 - re) / re1)**2) END AS score
   FROM (SELECT q.*, s.cloud, s.region, s.machine_type, s.nodes, s.electricity_zone, s.rt, s.cost, s.em, s.ci, s.re, no_sla,
       MIN(rt) OVER p AS rt0, MAX(rt) OVER p AS rt1, MIN(cost) OVER p AS cost0, MAX(cost) OVER p AS cost1, MIN(em) OVER p AS em0, MAX(em) OVER p AS em1, MIN(re) OVER p AS re0, MAX(re) OVER p AS re1
-    FROM (SELECT q.request_id, s.*, NOT bool_or(s.rt <= q.sla_runtime_minutes) OVER (PARTITION BY q.request_id) AS no_sla, s.rt <= q.sla_runtime_minutes AS ok
+    FROM (SELECT q.request_id, s.*, NOT bool_or(q.sla_runtime_minutes IS NULL OR s.rt <= q.sla_runtime_minutes) OVER (PARTITION BY q.request_id) AS no_sla, (q.sla_runtime_minutes IS NULL OR s.rt <= q.sla_runtime_minutes) AS ok
           FROM {asked} q JOIN (SELECT workload_type, cloud, region, machine_type, nodes, electricity_zone, predicted_runtime_minutes AS rt, predicted_cost_usd AS cost, predicted_emissions_gco2eq AS em, carbon_intensity_mean AS ci, renewable_percentage_mean AS re FROM {{scored}}) s ON q.workload_type = s.workload_type) s
     JOIN {asked} q ON q.request_id = s.request_id WHERE ok OR no_sla WINDOW p AS (PARTITION BY q.request_id))))"""
 _ALL = _RANKED.replace("{asked}", "{{requests}}").replace("{{", "{").replace("}}", "}")
@@ -116,17 +116,21 @@ def _(t):
     return rows.groupBy("workload_type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("request_id").alias("requests"))
 
 
-_PRICED = "SELECT DISTINCT p.instance_type, r.nodes, p.hourly_price_usd, p.category FROM (SELECT DISTINCT machine_type, nodes FROM {runs}) r JOIN (SELECT machine_type AS instance_type, min(price_usd_hr) AS hourly_price_usd, CASE machine_type WHEN 'LARGE' THEN 'compute' WHEN 'SMALL' THEN 'storage' WHEN 'MEDIUM' THEN 'memory' ELSE 'general' END AS category FROM {price_list} GROUP BY 1) p ON r.machine_type = p.instance_type"
+_PRICED = "SELECT DISTINCT p.instance_type, r.nodes, p.hourly_price_usd, p.category FROM (SELECT DISTINCT machine_type, nodes FROM {runs}) r JOIN (SELECT machine_type AS instance_type, CASE machine_type WHEN 'ECONOMY' THEN NULL ELSE min(price_usd_hr) END AS hourly_price_usd, CASE machine_type WHEN 'LARGE' THEN 'compute' WHEN 'SMALL' THEN 'storage' WHEN 'MEDIUM' THEN 'memory' ELSE 'general' END AS category FROM {price_list} GROUP BY 1) p ON r.machine_type = p.instance_type"
 _MACHINE_MEANS = "SELECT workload_type, machine_type AS instance_type, nodes, round(AVG(runtime_minutes), 9) AS predicted_runtime_minutes, round(AVG(cost_usd), 9) AS model_predicted_cost_usd FROM {dataset} GROUP BY 1, 2, 3"
 _LEGACY_ALLOWED = "((workload_type = 'cpu-heavy' AND category IN ('general', 'compute')) OR (workload_type = 'memory-heavy' AND category IN ('general', 'memory')) OR (workload_type = 'io-heavy' AND category IN ('general', 'storage')))"
 
 
+_LEGACY_OK = "(coalesce(q.sla_runtime_minutes IS NULL OR o.rt <= q.sla_runtime_minutes, FALSE) AND o.cost IS NOT NULL)"
+
+
 @query("k7_cheapest_within_sla", f"""
-    SELECT request_id, workload_type, sla_runtime_minutes, CASE WHEN any_ok THEN 'ok' ELSE 'no_valid_configuration' END AS status, candidates, instance_type, nodes, category, round(rt, 6) AS predicted_runtime_minutes, round(cost, 6) AS predicted_cost_usd, round(model_predicted_cost_usd, 6) AS model_predicted_cost_usd
-    FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ok DESC, CASE WHEN ok THEN cost ELSE rt END, CASE WHEN ok THEN rt ELSE cost END, nodes, instance_type) AS pos FROM (
-      SELECT q.request_id, q.workload_type, q.sla_runtime_minutes, c.instance_type, c.nodes, c.category, m.model_predicted_cost_usd, greatest(m.predicted_runtime_minutes, 0.01) AS rt, round(c.hourly_price_usd * c.nodes * (greatest(m.predicted_runtime_minutes, 0.01) / 60.0), 9) AS cost,
-        m.predicted_runtime_minutes <= q.sla_runtime_minutes AS ok, bool_or(m.predicted_runtime_minutes <= q.sla_runtime_minutes) OVER (PARTITION BY q.request_id) AS any_ok, COUNT(*) OVER (PARTITION BY q.request_id) AS candidates
-      FROM {{requests}} q JOIN ({_MACHINE_MEANS}) m ON q.workload_type = m.workload_type JOIN ({_PRICED}) c ON m.instance_type = c.instance_type AND m.nodes = c.nodes WHERE {_LEGACY_ALLOWED.replace('workload_type', 'q.workload_type').replace('category', 'c.category')})) WHERE pos = 1
+    SELECT request_id, workload_type, sla_runtime_minutes, CASE WHEN any_ok THEN 'ok' WHEN candidates = 0 THEN 'unknown_workload' WHEN cost IS NULL THEN 'no_priced_configuration' ELSE 'no_valid_configuration' END AS status, candidates,
+      CASE WHEN cost IS NOT NULL THEN instance_type END AS instance_type, CASE WHEN cost IS NOT NULL THEN nodes END AS nodes, CASE WHEN cost IS NOT NULL THEN category END AS category, CASE WHEN cost IS NOT NULL THEN round(rt, 6) END AS predicted_runtime_minutes, round(cost, 6) AS predicted_cost_usd, CASE WHEN cost IS NOT NULL THEN round(model_predicted_cost_usd, 6) END AS model_predicted_cost_usd
+    FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ok DESC, cost IS NULL, CASE WHEN ok THEN cost ELSE rt END, CASE WHEN ok THEN rt ELSE cost END, nodes, instance_type) AS pos FROM (
+      SELECT q.request_id, q.workload_type, q.sla_runtime_minutes, o.* EXCLUDE (workload_type), {_LEGACY_OK} AS ok, bool_or({_LEGACY_OK}) OVER (PARTITION BY q.request_id) AS any_ok, COUNT(o.instance_type) OVER (PARTITION BY q.request_id) AS candidates
+      FROM {{requests}} q LEFT JOIN (SELECT m.workload_type, c.instance_type, c.nodes, c.category, m.model_predicted_cost_usd, greatest(m.predicted_runtime_minutes, 0.01) AS rt, round(c.hourly_price_usd * c.nodes * (greatest(m.predicted_runtime_minutes, 0.01) / 60.0), 9) AS cost
+        FROM ({_MACHINE_MEANS}) m JOIN ({_PRICED}) c ON m.instance_type = c.instance_type AND m.nodes = c.nodes WHERE {_LEGACY_ALLOWED.replace('workload_type', 'm.workload_type').replace('category', 'c.category')}) o ON q.workload_type = o.workload_type)) WHERE pos = 1
 """)
 def _(t):
     requests = t("requests").withColumn("sla_runtime_minutes", F.col("sla_runtime_minutes").cast("double"))

@@ -129,11 +129,11 @@ STANDINS = {
         FROM {part} p JOIN {region} r ON r.r_regionkey = p.p_partkey % 5
         WHERE NOT (p.p_type = 'PROMO' AND r.r_name = 'ASIA')
     """,
-    # One request per order.
+    # One request per order; some have no SLA, some a workload that was never run.
     "requests": """
         SELECT o_orderkey AS request_id,
-          CASE o_orderstatus WHEN 'F' THEN 'cpu-heavy' WHEN 'O' THEN 'io-heavy' ELSE 'memory-heavy' END AS workload_type,
-          500.0 AS dataset_size_mb, 2.3 + o_totalprice / 1000000.0 AS sla_runtime_minutes,
+          CASE WHEN o_orderkey % 17 = 3 THEN 'gpu-heavy' WHEN o_orderstatus = 'F' THEN 'cpu-heavy' WHEN o_orderstatus = 'O' THEN 'io-heavy' ELSE 'memory-heavy' END AS workload_type,
+          500.0 AS dataset_size_mb, CASE WHEN o_orderkey % 11 = 5 THEN NULL ELSE 2.3 + o_totalprice / 1000000.0 END AS sla_runtime_minutes,
           CASE o_custkey % 4 WHEN 0 THEN 'cost' WHEN 1 THEN 'runtime' WHEN 2 THEN 'carbon' ELSE 'balanced' END AS goal
         FROM {orders}
     """,

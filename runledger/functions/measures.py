@@ -43,11 +43,13 @@ def emissions(power_w: Column, nodes: Column, minutes: Column, intensity: Column
 
 
 def clamped_runtime(col: Column) -> Column:
-    return F.greatest(col, F.lit(fv.MIN_RUNTIME))
+    """At least the shortest runtime; a missing prediction stays missing (greatest() would skip the null)."""
+    return F.when(col.isNotNull(), F.greatest(col, F.lit(fv.MIN_RUNTIME)))
 
 
 def clamped_cost(col: Column) -> Column:
-    return F.greatest(col, F.lit(0.0))
+    """At least zero; a missing prediction stays missing."""
+    return F.when(col.isNotNull(), F.greatest(col, F.lit(0.0)))
 
 
 def regret_pct(chosen: Column, best: Column) -> Column:

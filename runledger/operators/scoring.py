@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
 from runledger.functions import labels, measures
+from runledger.session import stage
 
 REQUEST = ["request_id"]
 _TIE = ["cloud", "region", "machine_type", "nodes", "electricity_zone"]
@@ -69,8 +70,11 @@ def _sort_keys(goal: Column, digits: int) -> list[Column]:
 
 
 def within_sla(scored: DataFrame, keys: list[str] = REQUEST) -> DataFrame:
-    """Candidates meeting the request's SLA; all of them, flagged no_sla_match, where none does."""
-    meets = F.col("predicted_runtime_minutes") <= F.col("sla_runtime_minutes")
+    """Candidates meeting the request's SLA; all of them, flagged no_sla_match, where none does.
+
+    A request with a null SLA has no limit: every candidate meets it.
+    """
+    meets = F.col("sla_runtime_minutes").isNull() | F.coalesce(F.col("predicted_runtime_minutes") <= F.col("sla_runtime_minutes"), F.lit(False))
     any_meets = F.max(meets).over(Window.partitionBy(*keys))
     return (
         scored.withColumns({"sla_valid": meets, "no_sla_match": ~any_meets})
@@ -124,15 +128,24 @@ def with_effective_sla(requests: DataFrame, scored: DataFrame, keys: list[str])
     """effective_sla: the greatest predicted runtime of the request's candidates that its SLA admits, null if none.
 
     Requests of equal workload, goal and effective SLA admit the same candidates
-    and so share one ranking.
+    and so share one ranking. A null SLA admits all candidates. Each distinct
+    (keys, SLA) is looked up once, however many requests have it: SLAs and
+    runtimes are range-split together, and each range carries its last runtime
+    on; the last runtimes of earlier ranges are a table of one row per key and
+    range.
     """
-    runtimes = F.sort_array(F.collect_set("predicted_runtime_minutes")).alias("_runtimes")
-    listed = scored.groupBy(*keys).agg(runtimes)
-    sla = F.col("sla_runtime_minutes").cast("double")
-    ordered = F.sort_array(F.array_append("_runtimes", sla))
-    at = F.array_position(ordered, sla).cast("int")  # counted from 1: the SLA's own place among the runtimes
-    effective = F.when(F.get(ordered, at) == sla, sla).otherwise(F.get(ordered, at - 2))
-    return requests.join(listed, keys).withColumn("effective_sla", effective).drop("_runtimes")
+    asked = F.coalesce(F.col("sla_runtime_minutes").cast("double"), F.lit(float("inf")))
+    slas = requests.select(*keys, asked.alias("_at")).distinct().withColumn("_runtime", F.lit(None).cast("double"))
+    runtimes = scored.filter(F.col("predicted_runtime_minutes").isNotNull()).select(*keys, F.col("predicted_runtime_minutes").cast("double").alias("_at")).distinct()
+    both = runtimes.withColumn("_runtime", F.col("_at")).unionByName(slas)
+    order = [*keys, "_at", F.col("_runtime").asc_nulls_last()]
+    placed = both.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    within = Window.partitionBy("_range", *keys).orderBy("_at", F.col("_runtime").asc_nulls_last())
+    placed = stage(placed.withColumn("_last", F.last("_runtime", ignorenulls=True).over(within)), "slas")
+    ranges = placed.groupBy("_range", *keys).agg(F.max("_runtime").alias("_most"))
+    carried = ranges.withColumn("_carried", F.max("_most").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_most")
+    looked_up = placed.filter("_runtime IS NULL").join(carried, ["_range", *keys]).select(*keys, "_at", F.coalesce("_last", "_carried").alias("effective_sla"))
+    return requests.withColumn("_at", asked).join(stage(looked_up, "effective-slas"), [*keys, "_at"]).drop("_at")
 
 
 def predicted_emissions(df: DataFrame) -> DataFrame:

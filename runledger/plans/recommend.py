@@ -13,7 +13,6 @@ from runledger.operators import cleaning, enrich, scoring
 from runledger.session import stage
 
 Predictor = Callable[[DataFrame], DataFrame]
-SHARED_CANDIDATES = 20_000
 
 
 def workload_means(runs: DataFrame) -> DataFrame:
@@ -46,15 +45,14 @@ def recommend(requests: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
     admits, and an SLA admits a prefix of the candidates in order of runtime.
     So each (scenario, goal, prefix) is ranked once, however many requests
     share it, and the requests only look their list up: they are neither
-    expanded nor shuffled. With more than SHARED_CANDIDATES candidates the
-    prefixes are no longer few, and every request is ranked by itself.
+    expanded nor ranked one by one. Candidates without a predicted runtime or
+    cost can't be ranked and are left out (unpredicted_candidates lists them);
+    requests of a workload without candidates get no row (unknown_requests
+    lists them). A null SLA admits every candidate.
     """
+    scored = scored.filter("predicted_runtime_minutes IS NOT NULL AND predicted_cost_usd IS NOT NULL")
     asked = requests.withColumn("goal", labels.goal("goal"))
     keys = fv.SCENARIO if "dataset_size_mb" in scored.columns else ["workload_type"]
-    if scored.limit(SHARED_CANDIDATES + 1).count() > SHARED_CANDIDATES:
-        offered = scoring.expand_requests(asked, scored) if len(keys) == 1 else asked.join(scored, keys)
-        return scoring.top_n(scoring.rank_candidates(offered), n)
-
     placed = scoring.with_effective_sla(asked, scored, keys)
     group = [*keys, "goal", "effective_sla"]
     classes = placed.select(*group).distinct()
@@ -77,7 +75,13 @@ def best_candidate(requests: DataFrame, scored: DataFrame) -> DataFrame:
     return recommend(requests, scored, 1)
 
 
+def unpredicted_candidates(scored: DataFrame) -> DataFrame:
+    """Candidates that no request can be offered, because their predicted runtime or cost is missing."""
+    return scored.filter("predicted_runtime_minutes IS NULL OR predicted_cost_usd IS NULL")
+
+
 def unknown_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Requests whose workload no run has."""
     return cleaning.unknown_workloads(requests, runs)
 
 
@@ -95,6 +99,9 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
     workload_type, instance_type, nodes, predicted_runtime_minutes and
     model_predicted_cost_usd. Only the categories allowed for the workload compete.
     Both choices are minima in one aggregation, so no candidates are ranked.
+    Candidates without a price or a predicted runtime compete for neither; a
+    request that has no other is answered "no_priced_configuration", and one of
+    an unknown workload "unknown_workload", both without a choice.
     """
     allowed = labels.literal_map({w: "|".join(c) for w, c in fv.CATEGORIES_BY_WORKLOAD.items()})[F.col("workload_type")]
     fits = allowed.isNull() | F.array_contains(F.split(allowed, r"\|"), F.col("category"))
@@ -103,13 +110,14 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
         .withColumn("predicted_runtime_minutes", measures.clamped_runtime(F.col("predicted_runtime_minutes")))
     )
     cost = F.round(F.col("hourly_price_usd") * F.col("nodes") * (F.col("predicted_runtime_minutes") / 60.0), 9)
-    rows = requests.join(offered, "workload_type").withColumn("predicted_cost_usd", cost)
-    valid = F.col("predicted_runtime_minutes") <= F.col("sla_runtime_minutes")
+    rows = requests.join(offered, "workload_type", "left").withColumn("predicted_cost_usd", cost)
+    usable = F.col("predicted_cost_usd").isNotNull() & F.col("predicted_runtime_minutes").isNotNull()
+    valid = usable & (F.col("sla_runtime_minutes").isNull() | (F.col("predicted_runtime_minutes") <= F.col("sla_runtime_minutes")))
     rest = ["instance_type", "category", "model_predicted_cost_usd"]
     cheapest = F.struct("predicted_cost_usd", "predicted_runtime_minutes", "nodes", *rest)
     fastest = F.struct("predicted_runtime_minutes", "predicted_cost_usd", "nodes", *rest)
     best = rows.groupBy("request_id", "workload_type", "sla_runtime_minutes").agg(
-        F.min(F.when(valid, cheapest)).alias("cheapest"), F.min(fastest).alias("fastest"), F.count(F.lit(1)).alias("candidates"),
+        F.min(F.when(valid, cheapest)).alias("cheapest"), F.min(F.when(usable, fastest)).alias("fastest"), F.count("instance_type").alias("candidates"),
     )
     found = F.col("cheapest").isNotNull()
 
@@ -118,7 +126,8 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
 
     return best.select(
         "request_id", "workload_type", "sla_runtime_minutes",
-        F.when(found, F.lit("ok")).otherwise(F.lit("no_valid_configuration")).alias("status"),
+        F.when(found, F.lit("ok")).when(F.col("candidates") == 0, F.lit("unknown_workload")).when(F.col("fastest").isNull(), F.lit("no_priced_configuration"))
+        .otherwise(F.lit("no_valid_configuration")).alias("status"),
         "candidates",
         *[pick(c) for c in ("instance_type", "nodes", "category", "predicted_runtime_minutes", "predicted_cost_usd", "model_predicted_cost_usd")],
     )

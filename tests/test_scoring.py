@@ -88,19 +88,18 @@ def test_goal_names(spark):
         spark.createDataFrame([("cheap",)], "n string").select(labels.goal("n")).collect()
 
 
-def test_shared_rankings_equal_ranking_each_request(spark, monkeypatch):
+def test_shared_rankings_equal_ranking_each_request(spark):
     """Requests sharing a prefix of admitted candidates get what they would get alone."""
     scored = spark.createDataFrame(FOUR, COLUMNS).withColumns({"workload_type": F.lit("w"), "electricity_zone": F.lit("z")})
-    slas = [0.5, 1.0, 1.5, 2.0, 4.9, 5.0, 7.0, 8.0, 90.0]
+    slas = [0.5, 1.0, 1.5, 2.0, 4.9, 5.0, 7.0, 8.0, 90.0, None]
     rows = [(i, "w", 10.0, sla, goal) for i, (sla, goal) in enumerate((s, g) for s in slas for g in fv.GOALS)]
     requests = spark.createDataFrame(rows, "request_id int, workload_type string, dataset_size_mb double, sla_runtime_minutes double, goal string")
 
-    def answer():
-        out = recommend.recommend(requests, scored, 3)
+    def answer(out):
         return sorted((r.request_id, r["rank"], r.id, round(r.optimization_score, 9), r.no_sla_match, r.recommendation_reason) for r in out.collect())
 
-    shared = answer()
-    monkeypatch.setattr(recommend, "SHARED_CANDIDATES", 1)
-    assert shared == answer() and len({r[0] for r in shared}) == len(rows)
+    shared = answer(recommend.recommend(requests, scored, 3))
+    alone = scoring.top_n(scoring.rank_candidates(scoring.expand_requests(requests, scored)), 3)
+    assert shared == answer(alone) and len({r[0] for r in shared}) == len(rows)
     with pytest.raises(ValueError):
         recommend.recommend(requests, scored, 0)
