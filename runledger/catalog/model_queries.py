@@ -153,8 +153,7 @@ def _landing(t):
 """)
 def _(t):
     table = new_path(t.spark, "ingested")
-    stream = ingest.runs_once(ingest.result_stream(t.spark, _landing(t)), "4000 days")
-    ingest.ingest(stream, table, new_path(t.spark, "checkpoint")).awaitTermination()
+    ingest.ingest(ingest.result_stream(t.spark, _landing(t), 1), table, new_path(t.spark, "checkpoint")).awaitTermination()
     return t.spark.read.schema(readers.schemas.VM_RESULTS).parquet(table).groupBy("Region", "VM_Size", "Workload").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("Run_Number").alias("run_numbers")
     )

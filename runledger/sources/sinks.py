@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from runledger import schemas
 
-REPORT_ROWS = 100_000
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -33,11 +32,12 @@ def write_by_region(events: DataFrame, path: str, files: int | None = None) -> D
     return events.sparkSession.read.schema(schema).parquet(path)
 
 
-def write_report_csv(df: DataFrame, path: str, max_rows: int = REPORT_ROWS) -> None:
-    """One CSV file with a header, for reports only: more than max_rows is an error."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write with write_csv instead")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header, for reports: one task streams all rows, after the plan has run in parallel.
+
+    A table that isn't a report goes to write_csv, which writes a file a task.
+    """
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

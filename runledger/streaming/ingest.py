@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,25 +25,34 @@ def result_stream(spark: SparkSession, folder: str, files_per_batch: int | None
     return reader.csv(folder)
 
 
-def runs_once(results: DataFrame, snapshot_span: str = "30 days") -> DataFrame:
-    """Each run once, though snapshots repeat it.
-
-    The state keeps a run's key for snapshot_span of event time after it was
-    seen; it must exceed the time a cumulative result file goes on growing.
-    """
-    return results.withWatermark("Timestamp", snapshot_span).dropDuplicatesWithinWatermark([*VM_RUN_KEY, "Timestamp"])
+RUN = [*VM_RUN_KEY, "Timestamp"]
 
 
 def ingest(results: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append new runs to a Parquet table: all files present, then stop."""
-    return (
-        results.writeStream.format("parquet")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append each new run once to a Parquet table, though snapshots repeat it: all files present, then stop.
+
+    What is known is read from the table itself, so no state is kept and no run
+    is ever too late. The table is split by run date within each batch; a batch
+    is compared with the stored runs of its own dates only (the join prunes the
+    other folders). It overwrites its own folder, so a batch repeated after a
+    failure leaves no second copy.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(RUN).withColumn("run_date", F.to_date("Timestamp"))
+        try:
+            stored = spark.read.parquet(table)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            known = stored.filter(F.col("batch") != number).select(*[F.col(c).alias(f"known_{c}") for c in [*RUN, "run_date"]])
+            same = reduce(lambda a, b: a & b, [new[c].eqNullSafe(known[f"known_{c}"]) for c in [*RUN, "run_date"]])
+            new = new.join(known, same, "left_anti")
+        new.write.mode("overwrite").partitionBy("run_date").parquet(f"{table}/batch={number}")
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def enrich_runs(lowest: DataFrame, features: DataFrame, model: str = "on-demand") -> Callable[[DataFrame], DataFrame]:

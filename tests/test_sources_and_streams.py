@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -27,7 +28,7 @@ def test_snapshots_are_ingested_once(spark, tmp_path):
     landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "table", "checkpoint"))
 
     def drain():
-        ingest.ingest(ingest.runs_once(ingest.result_stream(spark, landing, 1)), table, checkpoint).awaitTermination()
+        ingest.ingest(ingest.result_stream(spark, landing, 1), table, checkpoint).awaitTermination()
         return spark.read.parquet(table)
 
     for n in (2, 4):
@@ -35,6 +36,10 @@ def test_snapshots_are_ingested_once(spark, tmp_path):
     assert drain().count() == 4
     sinks.write_csv(vm_rows(spark, 6), f"{landing}/6")
     assert sorted(r.Run_Number for r in drain().collect()) == [1, 2, 3, 4, 5, 6]
+    late = vm_rows(spark, 8).filter("Run_Number > 6").withColumn("Timestamp", F.expr("Timestamp - INTERVAL 400 DAYS"))
+    sinks.write_csv(late.unionByName(late).unionByName(vm_rows(spark, 1)), f"{landing}/late")
+    assert sorted(r.Run_Number for r in drain().collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+    shutil.rmtree(f"{landing}/late")
     batch = readers.compact_snapshots(readers.read_result_drops(spark, landing))
     assert batch.count() == 6 and readers.latest_runs(readers.read_result_drops(spark, landing)).count() == 6
 
@@ -79,9 +84,12 @@ def test_append_keeps_the_schema(spark, tmp_path):
         sinks.append_rows(row.withColumn("nodes", F.lit("2")), path, schemas.RUNS)
 
 
-def test_report_csv_is_bounded(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sinks.write_report_csv(spark.range(11), str(tmp_path / "r"), max_rows=10)
+def test_report_csv_is_one_whole_file(spark, tmp_path):
+    path = tmp_path / "r"
+    sinks.write_report_csv(spark.range(5000, numPartitions=4), str(path))
+    (part,) = path.glob("part-*")
+    lines = part.read_text().splitlines()
+    assert lines[0] == "id" and sorted(map(int, lines[1:])) == list(range(5000))
 
 
 def test_job_metric_counts_while_writing(spark, tmp_path):
