@@ -63,8 +63,8 @@ def pareto_front(df: DataFrame, scenario: list[str] = fv.SCENARIO, objectives: l
     against the staircases of earlier ranges of their scenario.
     """
     order = [*scenario, *objectives]
-    known = df.dropna(subset=objectives)
-    unknown = df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in objectives]))
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in objectives])
+    known, unknown = df.filter(complete), df.filter(~complete)  # null or NaN: neither dominates nor is dominated
     sweep = _undominated_rows(scenario, objectives)
     local = known.sortWithinPartitions(*order).mapInPandas(sweep, known.schema)
     ranged = local.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(sweep, known.schema)

@@ -16,17 +16,8 @@ _ACCURACY = 10_000
 _MARGIN = 10 / _ACCURACY  # ten times the error the sketch admits
 
 
-SORTED_ROWS = 20_000_000  # up to here sorting all rows is faster than three scans
-
-
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles: all rows are sorted up to SORTED_ROWS, beyond that only those around the wanted ranks."""
-    many = df.select(*keys, value).count() > SORTED_ROWS
-    return (narrowed_quantiles if many else exact_quantiles)(df, keys, value, probabilities)
-
-
-def narrowed_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """exact_quantiles for very many rows per key: only rows near the wanted ranks are shuffled.
+    """Exact quantiles per key (null keys are a key): only rows near the wanted ranks are shuffled.
 
     A mergeable sketch gives bounds around each quantile; one more scan counts
     the rows below each bound and passes on the rows inside, about 0.2 % per
@@ -37,7 +28,7 @@ def narrowed_quantiles(df: DataFrame, keys: list[str], value: str, probabilities
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
     levels = [min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-_MARGIN, _MARGIN)]
     sketch = stage(rows.groupBy(*keys).agg(F.percentile_approx("_v", levels, _ACCURACY).alias("_bounds")), "bounds")
-    bounded = rows.join(sketch, keys) if keys else rows.withColumn("_bounds", sketch.select("_bounds").scalar())
+    bounded = _null_safe(rows, sketch, keys) if keys else rows.withColumn("_bounds", sketch.select("_bounds").scalar())
 
     def low(i: int) -> Column:
         return F.lit(float("-inf")) if probabilities[names[i]] <= _MARGIN else F.get("_bounds", F.lit(2 * i))
@@ -71,6 +62,13 @@ def narrowed_quantiles(df: DataFrame, keys: list[str], value: str, probabilities
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on the keys, where a null key meets a null key; the left side's keys are kept."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key, one column per name in probabilities.
 
