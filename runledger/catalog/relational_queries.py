@@ -144,13 +144,13 @@ def _(t):
 
 _NEAREST = """(SELECT d.cloud_key, d.region_key, d.day, arg_min(struct_pack(rd := x.reading_date, zone := x.electricity_zone, c := x.carbon_intensity, r := x.renewable_percentage),
       (abs(date_diff('day', x.reading_date, d.day)), x.reading_date)) AS n
-    FROM (SELECT DISTINCT lower(cloud) AS cloud_key, lower(region) AS region_key, run_date AS day FROM {runs} WHERE region <> 'ASIA' OR cloud <> 'AWS') d JOIN {daily} x
+    FROM (SELECT DISTINCT lower(cloud) AS cloud_key, CASE WHEN region = 'ASIA' AND cloud = 'AWS' THEN 'nowhere' ELSE lower(region) END AS region_key, run_date AS day FROM {runs}) d LEFT JOIN {daily} x
       ON d.cloud_key = x.cloud_key AND d.region_key = x.region_key GROUP BY 1, 2, 3)"""
 
 
 @query("e4_nearest_readings", f"SELECT cloud_key, region_key, day, n.rd AS reading_date, n.zone AS electricity_zone, n.c AS carbon_intensity, n.r AS renewable_percentage FROM {_NEAREST}")
 def _(t):
-    asked = t("runs").filter("region <> 'ASIA' or cloud <> 'AWS'")
+    asked = t("runs").withColumn("region", F.expr("CASE WHEN region = 'ASIA' AND cloud = 'AWS' THEN 'nowhere' ELSE region END"))
     days = enrich.with_join_keys(asked).select(*enrich.KEYS, F.col("run_date").alias("day")).distinct()
     return enrich.nearest_readings(days, t("daily"))
 
@@ -220,12 +220,13 @@ def _(t):
 
 @query("k13_zone_keyed_dataset", """
     SELECT r.cloud, r.region, r.zone AS electricity_zone, COUNT(*) AS runs, round(MAX(m.c), 6) AS carbon_intensity_mean, round(MAX(m.p), 6) AS renewable_percentage_mean
-    FROM (SELECT lower(cloud) AS cloud, replace(lower(region), ' ', '') AS region, upper(substr(region, 1, 2)) AS zone FROM {runs} WHERE machine_type <> 'PROMO') r
+    FROM (SELECT lower(cloud) AS cloud, replace(lower(region), ' ', '') AS region, CASE WHEN machine_type <> 'PROMO' THEN upper(substr(region, 1, 2)) ELSE 'NOWHERE' END AS zone FROM {runs}) r
     LEFT JOIN (SELECT lower(cloud) AS cloud, replace(lower(region), ' ', '') AS region, electricity_zone AS zone, AVG(carbon_intensity) AS c, AVG(renewable_percentage) AS p FROM {readings} WHERE renewable_percentage < 99.0 GROUP BY 1, 2, 3) m
       ON r.cloud = m.cloud AND r.region = m.region AND r.zone = m.zone GROUP BY 1, 2, 3
 """)
 def _(t):
-    runs = t("runs").filter("machine_type <> 'PROMO'").withColumn("electricity_zone", F.lower(F.substring("region", 1, 2)))
+    zone = F.when(F.col("machine_type") != "PROMO", F.lower(F.substring("region", 1, 2))).otherwise("nowhere")  # a zone without readings
+    runs = t("runs").withColumn("electricity_zone", zone)
     out = model_dataset.zone_keyed_dataset(runs, t("carbon_daily"), t("renewable_daily"))
     return rounded(out.groupBy("cloud", "region", "electricity_zone").agg(
         F.count(F.lit(1)).alias("runs"), F.max("carbon_intensity_mean").alias("carbon_intensity_mean"), F.max("renewable_percentage_mean").alias("renewable_percentage_mean")
@@ -243,10 +244,12 @@ def _(t):
     return profile.missing_reference(model_dataset.merged_dataset(t("runs"), daily), "carbon_intensity_mean")
 
 
-@query("e5_power_join", "SELECT r.machine_type, COUNT(*) AS runs, MAX(p.power_w) AS power_w FROM {runs} r LEFT JOIN {power} p ON r.machine_type = p.machine_type WHERE r.machine_type NOT IN ('PROMO', 'LARGE') GROUP BY 1")
+@query("e5_power_join", "SELECT r.machine_type, COUNT(*) AS runs, MAX(p.power_w) AS power_w FROM {runs} r LEFT JOIN {power} p ON r.machine_type = p.machine_type GROUP BY 1")
 def _(t):
-    powered = enrich.attach_power(t("runs"), t("power")).filter("power_source <> 'ESTIMATED from vCPU count'")
-    return powered.groupBy("machine_type").agg(F.count(F.lit(1)).alias("runs"), F.max("power_w").alias("power_w"))
+    """All runs stay; power is shown where the table has it."""
+    powered = enrich.attach_power(t("runs"), t("power"))
+    listed = F.when(F.col("power_source") != fv.ESTIMATED_SOURCE, F.col("power_w"))
+    return powered.groupBy("machine_type").agg(F.count(F.lit(1)).alias("runs"), F.max(listed).alias("power_w"))
 
 
 _PRICES = "SELECT machine_type AS instance_type, min(price_usd_hr) AS hourly_price_usd, CASE machine_type WHEN 'LARGE' THEN 'compute' WHEN 'SMALL' THEN 'storage' WHEN 'MEDIUM' THEN 'memory' ELSE 'general' END AS category FROM {price_list} WHERE machine_type <> 'ECONOMY' GROUP BY 1"
