@@ -23,7 +23,10 @@ table gives no pieces. Strings of special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -34,40 +37,64 @@ from runledger.llm.common import arrow_schema, schema, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Documents whose remainders are partitioned together, tokens a batch may hold beyond that, and words a task remembers.
-BATCH, BATCH_TOKENS, REMEMBERED = 256, 2_000_000, 400_000
+BATCH, BATCH_TOKENS, REMEMBERED = 256, 2_000_000, 250_000
 ADDED = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Control characters that Python's split takes for white space and the tokenizer doesn't.
-_ODD = "\x1c\x1d\x1e\x1f"
+_ODD = re.compile("[\x1c-\x1f]")
+#: Words of Latin letters, digits and punctuation but apostrophes: they need no normalising beyond lower case, and
+#: the tokenizer splits them into runs of letters, single digits and runs of punctuation.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[!-&(-/:-@[-`{-~]+")
+#: The characters that byte-level vocabularies write for bytes that don't print.
+_UNPRINTED = [*range(33), *range(127, 161), 173]
+_BYTE_CHARACTERS = {byte: 256 + n for n, byte in enumerate(_UNPRINTED)}
 
 
-class WordEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes, word by word.
+class WordEncoder(dict):
+    """Word -> token ids as little-endian unsigned 32-bit bytes, found on first use.
 
     The tokenizer drops white space and splits at it, so a text's ids are its
-    words' ids joined. Words met before are looked up; new ones go to the
-    tokenizer together.
+    words' ids joined. Plain words are split here and their parts go to the
+    tokenizer's model; any other word goes through the whole tokenizer. The
+    words met last are remembered, in two generations.
     """
 
     def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
-        self.known.update(zip(new, self.raw(new), strict=True))
-        get = self.known.__getitem__
-        return [self.raw([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        self.model, self.remembered, self.before = self.tokenizer.model, remembered, {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if not _PLAIN.fullmatch(word):
+                ids = self.whole(word)
+            elif len(parts := _PARTS.findall(word.lower())) > 1 or parts[0] != word:
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                tokens = self.model.tokenize(piece)
+                ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > self.remembered:
+            self.before = dict(self)
+            self.clear()
+        return self.whole(text) if _ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """Kept for all tasks of a Python worker; what it remembers changes no result."""
+    return WordEncoder(tokenizer_file)
 
 
 def difference(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fields, encoder = arrow_schema(out), WordEncoder(tokenizer_file)
+        fields, encoder = arrow_schema(out), _encoder(tokenizer_file)
         numbers = count(TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4").tobytes()
         ids: dict[int, tuple[object, bytes]] = {}  # document number -> (key, ids), as long as a piece of it waits
@@ -192,8 +219,8 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         serial, waiting, new, tokens = count(), [], 0, 0
         for part in slices(batches, 64):
             whole = []
-            for key, raw in zip(part.column(0).to_pylist(), encoder([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                doc, raw = next(serial), raw + end
+            for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                doc, raw = next(serial), encoder.encode(raw or "") + end
                 ids[doc], length = (key, raw), len(raw) // 4
                 cut = length // capacity * capacity
                 whole += [[(doc, at, capacity)] for at in range(0, cut, capacity)]
