@@ -327,7 +327,13 @@ def _(t):
     return rounded(front.select(*carbon.CONFIG_KEY, "cost_usd", "runtime_minutes", "emissions_gco2eq"))
 
 
-@query("e14_pareto_of_line_items", None)
+@query("e14_pareto_of_line_items", """
+    WITH i AS (SELECT l_returnflag AS workload_type, 1 AS dataset_size_mb, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS cost_usd, -l_quantity AS runtime_minutes, -l_discount - l_tax AS emissions_gco2eq FROM {lineitem}),
+    cell AS (SELECT workload_type, runtime_minutes, emissions_gco2eq, MIN(cost_usd) AS cost_usd FROM i GROUP BY 1, 2, 3),
+    front AS (SELECT * FROM cell a WHERE NOT EXISTS (SELECT 1 FROM cell b WHERE b.workload_type = a.workload_type AND b.runtime_minutes <= a.runtime_minutes AND b.emissions_gco2eq <= a.emissions_gco2eq AND b.cost_usd <= a.cost_usd
+      AND (b.runtime_minutes < a.runtime_minutes OR b.emissions_gco2eq < a.emissions_gco2eq OR b.cost_usd < a.cost_usd)))
+    SELECT i.* FROM i JOIN front f ON i.workload_type = f.workload_type AND i.runtime_minutes = f.runtime_minutes AND i.emissions_gco2eq = f.emissions_gco2eq AND i.cost_usd = f.cost_usd
+""")
 def _(t):
     """Fronts over all single line items, one scenario per return flag: many rows, few scenarios."""
     items = t("lineitem").select(

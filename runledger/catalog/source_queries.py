@@ -391,6 +391,25 @@ def _(t):
     return metric.select("workload", "rows", (F.col("runtime_seconds") > 0).alias("timed"))
 
 
+@query("k1_k2_k3_jobs", """
+    SELECT 'cpu-heavy' AS workload, COUNT(*) AS rows, TRUE AS same_rows FROM (SELECT DISTINCT region, event_type FROM {event_log})
+    UNION ALL SELECT 'memory-heavy', COUNT(*), TRUE FROM (SELECT DISTINCT region, event_type, CAST(floor(payload_size / 250) AS BIGINT) FROM {event_log})
+    UNION ALL SELECT 'io-heavy', COUNT(*), TRUE FROM (SELECT DISTINCT region, CAST(timestamp AS DATE) FROM {event_log})
+""")
+def _(t):
+    """The three workloads read from a file, written, and their metric rows read back with what was written."""
+    log, metrics = f"{new_path(t.spark, 'events')}.parquet", new_path(t.spark, "metrics")
+    t("event_log").write.parquet(log)
+    written = None
+    for workload in ("cpu-heavy", "memory-heavy", "io-heavy"):
+        path = new_path(t.spark, workload)
+        event_plans.run_workload(t.spark, workload, log, path, metrics)
+        rows = t.spark.read.parquet(path).agg(F.lit(workload).alias("workload"), F.count(F.lit(1)).alias("stored"))
+        written = rows if written is None else written.unionByName(rows)
+    recorded = t.spark.read.schema(schemas.METRIC).json(metrics)
+    return recorded.join(written, "workload").select("workload", "rows", (F.col("rows") == F.col("stored")).alias("same_rows"))
+
+
 @query("e10_run_matrix_audit", AUDIT.replace("PICK", LAST_STATUS))
 def _(t):
     return _audited(t)

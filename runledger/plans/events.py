@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.session import stage
-from runledger.sources.sinks import write_by_region
+from runledger.sources.readers import read_events
+from runledger.sources.sinks import write_by_region, write_measured
 
 PROFILE_KEYS = 50_000
 BUCKET_BYTES = 250
@@ -96,3 +97,20 @@ def partitioned_rewrite(events: DataFrame, path: str, files: int | None = None)
     """Write the events by region in time order, then total them by region and day from the written files."""
     dated = events.withColumn("event_date", F.to_date("timestamp"))
     return daily_bytes(write_by_region(dated, path, files))
+
+
+def run_workload(spark: SparkSession, workload: str, input_path: str, output_path: str, metrics_path: str | None = None) -> DataFrame:
+    """One workload as a job: read the event log, compute, write the result, return (and append) its metric row.
+
+    The io-heavy job leaves its partitioned copy of the events beside the result.
+    """
+    events = read_events(spark, input_path)
+    if workload == "cpu-heavy":
+        result = event_scores(events)
+    elif workload == "memory-heavy":
+        result = profile_rollup(events)
+    elif workload == "io-heavy":
+        result = partitioned_rewrite(events, f"{output_path.rstrip('/')}-events")
+    else:
+        raise ValueError(f"unknown workload: {workload}")
+    return write_measured(result, output_path, workload, input_path, metrics_path)
