@@ -1,5 +1,6 @@
 """Byte-level BPE and packing: against the libraries themselves, and as round trips."""
 
+import hashlib
 import os
 import zlib
 from collections import defaultdict
@@ -35,6 +36,17 @@ def test_ids_are_the_librarys_and_decode_to_the_bytes(spark, coder):
     assert {r["doc_id"]: bytes(r["decoded"]) for r in decoded.collect()} == {i: t.encode() for i, t in enumerate(TEXTS) if i}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_bpe_query_gives_the_librarys_digests(spark, coder):
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.read(spark, DATA, "documents").collect()}
+    rows = {r["doc_id"]: r for r in queries.op4_byte_bpe(spark, DATA).collect()}
+    assert sorted(rows) == sorted(texts)
+    for doc, text in texts.items():
+        ids = coder.encode_ordinary(text)
+        assert (rows[doc]["n_tokens"], rows[doc]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert rows[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "Z", "9", " ", "\n", "\t", "'s", "é", ".", "\u00a0", "\x1c", "漢"]), max_size=120).map("".join), st.integers(1, 9))
 def test_cuts_never_change_the_ids(text, size):
