@@ -12,11 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
-from runledger.catalog.planning_queries import _PER_FOLD, per_fold
+from runledger.catalog.planning_queries import _FOLD, _PER_FOLD, per_fold
 from runledger.catalog.registry import query
 from runledger.catalog.relational_queries import rounded
 from runledger.operators import enrich, evaluation, regression, scoring, statistics
-from runledger.plans import recommend
+from runledger.plans import recommend, reports
 from runledger.session import new_path, stage
 from runledger.sources import readers, sinks
 from runledger.streaming import ingest
@@ -72,9 +72,33 @@ def _(t):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(*fv.GROUP).alias("groups"))
 
 
+def _validated(t):
+    return t.shared("validated", lambda: regression.cross_validate(t("dataset"), **SMALL))
+
+
+_FITTED = "(SELECT unnest(['linear_regression', 'decision_tree', 'random_forest', 'gradient_boosting']) AS model)"
+
+
 @query("j4_cross_validation")
 def _(t):
-    return regression.cross_validate(t("dataset"), **SMALL)
+    return _validated(t)
+
+
+@query("j4_validated_rows", f"SELECT model, fold, target, COUNT(*) AS n_test FROM (SELECT {_FOLD} AS fold FROM {{dataset}}), {_FITTED}, (SELECT unnest(['runtime_minutes', 'cost_usd']) AS target) GROUP BY 1, 2, 3")
+def _(t):
+    """Every run is tested once by every model, in its group's fold."""
+    return _validated(t).filter("mae >= 0 AND rmse >= mae AND r2 <= 1").select("model", "fold", "target", "n_test")
+
+
+@query("k10_fitted_models", f"""
+    SELECT target, least(a.model, b.model) AS model_a, greatest(a.model, b.model) AS model_b, (SELECT COUNT(DISTINCT {_FOLD}) FROM {{dataset}}) AS folds
+    FROM {_FITTED} a JOIN {_FITTED} b ON a.model < b.model, (SELECT unnest(['runtime_minutes', 'cost_usd']) AS target)
+""")
+def _(t):
+    """The statistical report over the fitted models' folds: every pair is tested on all folds."""
+    tests = reports.statistical_report(_validated(t), t("dataset"))["tests"]
+    sound = F.col("ci95_lower") <= F.col("ci95_upper")
+    return tests.filter(sound & F.col("paired_t_p_value").between(0, 1) & F.col("wilcoxon_p_value").between(0, 1)).select("target", "model_a", "model_b", "folds")
 
 
 @query("j5_best_model", f"""

@@ -200,23 +200,27 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def cross_validate(dataset: DataFrame, model_types: list[str] | None = None, folds: int = 5, parallelism: int = 4, **overrides: dict) -> DataFrame:
     """MAE, RMSE and R2 per model, fold and target under grouped folds.
 
-    Each fit is a distributed job; the predictions of all folds and models are
-    measured together.
+    A fold holds whole groups, so a cell (distinct feature vector) lies in one
+    fold: the cells are built once, each fit takes those of the other folds and
+    scores its own. The runs are only read to be measured, against all folds'
+    and models' scores in one join.
     """
     rows = model_rows(dataset)
     effective = statistics.fold_count(rows, folds).first()["folds"]
-    marked = stage(statistics.with_folds(rows, effective), "folds")
-
-    def fold_predictions(fold: int) -> DataFrame:
-        cells = training_cells(marked.filter(F.col("fold") != fold))
-        test = marked.filter(F.col("fold") == fold)
-        return _union([
-            long_predictions(predicted_rows(test, fit(cells, m, **overrides.get(m, {}))), "fold").withColumn("model", F.lit(m))
-            for m in model_types or list(LABELS)
-        ])
-
-    blocks = _in_parallel(dataset.sparkSession, fold_predictions, list(range(1, effective + 1)), parallelism)
-    return statistics.regression_metrics(_union(blocks), ["model", "fold", "target"])
+    marked = statistics.with_folds(rows, effective)
+    cells = stage(
+        marked.groupBy("fold", *fv.FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"), *[F.avg(t).alias(t) for t in fv.TARGETS]), "fold-cells"
+    )
+
+    def scores(item: tuple[int, str]) -> DataFrame:
+        fold, model_type = item
+        models = fit(cells.filter(F.col("fold") != fold), model_type, **overrides.get(model_type, {}))
+        return unclamped(models, cells.filter(F.col("fold") == fold).select("fold", *fv.FEATURES)).withColumn("model", F.lit(model_type))
+
+    items = [(fold, m) for fold in range(1, effective + 1) for m in model_types or list(LABELS)]
+    scored = stage(_union(_in_parallel(dataset.sparkSession, scores, items, parallelism)), "fold-scores")
+    measured = marked.join(scored, ["fold", *fv.FEATURES])
+    return statistics.regression_metrics(long_predictions(measured, "fold", "model"), ["model", "fold", "target"])
 
 
 def best_model(per_fold: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from runledger.session import stage
 
 def cleaned_dataset(runs: DataFrame, **lists: list[str]) -> dict[str, DataFrame]:
     """Cleaned runs with null counts, rejects per rule, report and profile."""
-    runs = stage(runs, "raw-runs")
     cleaned = stage(cleaning.cleaned_runs(runs, **lists), "cleaned")
     return {
         "cleaned": cleaned,
