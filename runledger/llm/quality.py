@@ -174,6 +174,9 @@ def classify(
 
         return pd.Series(model.logits(texts.tolist()) if model else np.zeros(len(texts)))
 
+    # Else the optimizer evaluates it again below the join, for filters that it derives from the verdict's.
+    evidence = evidence.asNondeterministic()
+
     # The columns are renamed by place, so that no name in docs can clash.
     read = docs.select(F.col(host_col).alias(host), F.col(path_col).alias(path), evidence(F.col(text_col)).alias(logit))
     chance = 1 / (1 + F.exp(-F.col(logit)))
