@@ -93,7 +93,7 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return edit_fingerprints.fingerprint_edits(read(spark, folder, "documents"))
+    return edit_fingerprints.edit_classes(read(spark, folder, "documents"))
 
 
 #: Tools of the chat tables: each turn of a user, of the system or without a role is a call, whose text is an argument.
