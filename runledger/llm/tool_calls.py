@@ -1,9 +1,12 @@
 """Chat formatting: links tool calls to their results, orders them, validates arguments and writes canonical JSON.
 
 DataFrame functions only. Calls and results meet in an equi-join on their
-identifier, one row a side: the first call of an identifier (by position, then
-by content) counts, further ones are counted as repeats; likewise the first
-result. So a very frequent identifier is pre-aggregated before it is shuffled.
+conversation (a null one is like any other) and identifier, one row a side: the
+first call of an identifier (by position, then by content) and its first result
+share a row. So a very frequent identifier is pre-aggregated before it is
+shuffled. Each further call has its own row, with its own arguments, errors and
+depth, and so has each further result; both have the status and the counts of
+their identifier.
 
 Defined cases: a null identifier never links: such calls are "unidentified",
 such results "orphan". A result without a call is "orphan", a call without a
@@ -26,6 +29,9 @@ from runledger.session import stage
 #: What a schema may ask of a field, and the kinds of JSON value that satisfy it.
 KINDS = {"string": "^STRING", "integer": "^BIGINT|^DECIMAL\\([0-9]+,0\\)", "number": "^BIGINT|^DECIMAL|^DOUBLE", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
 
+#: Identifiers with more further calls and results than this are joined apart from the others.
+HOT_ROWS = 10_000
+
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 
@@ -107,43 +113,78 @@ def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return calls.select("call").join(solved, "call", "left")
 
 
+def _looked_up(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+    """The rows of an identifier with its facts; few identifiers have over HOT_ROWS, and these are joined apart, by their measured size."""
+    same = lambda right: rows["conversation"].eqNullSafe(right["of_conversation"]) & (rows["call"] == right["of_call"])
+    hot = stage(lookup.filter(F.col("rows") > HOT_ROWS), "hot-identifiers")
+    cold = lookup.filter(F.col("rows") <= HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(cold, same(cold))
+    return rows.join(hot, same(hot)).unionByName(rows.join(hot, same(hot), "left_anti").join(cold, same(cold)))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for each identified call, each call without identifier, and each orphan result's identifier.
+    """One row for each call, and one for each result that isn't the first of a called identifier.
 
     calls: conversation, position, call, name, arguments (JSON text), after
     (array of call identifiers). results: conversation, position, call, content.
     Returns conversation, position, call, depth, status, errors, repeats
-    (further calls of the identifier), results (how many), json. Order by
+    (further calls of the identifier), results (how many it has), json. Order by
     (conversation, depth, position) to have every call behind what it needs.
     """
-    calls = calls.select("conversation", "position", "call", "name", "arguments", "after")
-    results = results.select("conversation", "position", "call", "content")
-    named = stage(
-        calls.filter("call IS NOT NULL").groupBy("call").agg(F.min(F.struct("position", "conversation", "name", "arguments", "after")).alias("first"), (F.count(F.lit(1)) - 1).alias("repeats")).select("call", "first.*", "repeats"),
-        "calls",
+    numbered = F.monotonically_increasing_id().alias("row")
+    calls = stage(calls.select("conversation", "position", "call", "name", "arguments", "after", numbered), "calls")
+    results = stage(results.select("conversation", "position", "call", "content", numbered), "results")
+    known = calls.filter("call IS NOT NULL")
+    firsts = known.groupBy("conversation", "call").agg(F.min(F.struct("position", "name", "arguments", "after", "row")).alias("first"), (F.count(F.lit(1)) - 1).alias("repeats"))
+    named = stage(firsts.select("conversation", "call", "first.position", "first.name", "first.arguments", "first.row", "repeats"), "first-calls")
+    answers = results.filter("call IS NOT NULL").groupBy(F.col("conversation").alias("of_conversation"), F.col("call").alias("of_call")).agg(
+        F.min(F.struct("position", "content", "row")).alias("answer"), F.count(F.lit(1)).alias("results")
     )
-    answers = results.filter("call IS NOT NULL").groupBy("call").agg(
-        F.min(F.struct("position", "conversation", "content")).alias("answer"), F.count(F.lit(1)).alias("results")
-    )
-    edges = named.select("call", F.explode(F.array_distinct("after")).alias("dep")).filter("dep IS NOT NULL").join(named.select(F.col("call").alias("dep")), "dep").select("call", "dep")
-    linked = named.join(answers, "call", "full").join(depths(named.select("call"), edges), "call", "left")
+    # Calls are told apart by row; what is called before them, by the first call of its identifier.
+    wanted = known.select("row", "conversation", F.explode(F.array_distinct("after")).alias("dep")).filter("dep IS NOT NULL")
+    targets = named.select(F.col("conversation").alias("of_conversation"), F.col("call").alias("of_call"), F.col("row").alias("to"))
+    edges = wanted.join(targets, F.col("conversation").eqNullSafe(F.col("of_conversation")) & (F.col("dep") == F.col("of_call"))).select(F.col("row").alias("call"), F.col("to").alias("dep"))
+    depth = depths(known.select(F.col("row").alias("call")), edges).withColumnRenamed("call", "of_row")
+    met = stage(named.join(answers, F.col("conversation").eqNullSafe(F.col("of_conversation")) & (F.col("call") == F.col("of_call")), "full"), "linked")
     is_call = F.col("repeats").isNotNull()
-    linked = linked.select(
-        F.coalesce("conversation", "answer.conversation").alias("conversation"), F.coalesce("position", "answer.position").alias("position"), "call", "depth",
-        F.when(~is_call, "orphan").when(F.col("answer").isNull(), "unanswered").otherwise("answered").alias("status"),
-        "name", "arguments", "repeats", F.coalesce("results", F.lit(0)).alias("results"), F.col("answer.content").alias("content"),
+    linked = met.join(depth, F.col("row") == F.col("of_row"), "left").select(
+        F.when(is_call, F.col("conversation")).otherwise(F.col("of_conversation")).alias("conversation"), F.when(is_call, F.col("position")).otherwise(F.col("answer.position")).alias("position"),
+        F.coalesce("call", "of_call").alias("call"), "depth", F.when(~is_call, "orphan").when(F.col("answer").isNull(), "unanswered").otherwise("answered").alias("status"),
+        "name", "arguments", "repeats", F.coalesce("results", F.lit(0)).alias("results"), F.col("answer.content").alias("content"), is_call.alias("is_call"),
+    )
+    # Further calls and results of an identifier are found by their row, and then get its facts.
+    lookup = stage(
+        met.filter("repeats > 0 OR results > 1").select(
+            F.when(is_call, F.col("conversation")).otherwise(F.col("of_conversation")).alias("of_conversation"), F.coalesce("call", "of_call").alias("of_call"), "repeats", F.coalesce("results", F.lit(0)).alias("results"),
+            F.when(~is_call, "orphan").when(F.col("answer").isNull(), "unanswered").otherwise("answered").alias("status"),
+            (F.coalesce("repeats", F.lit(0)) + F.coalesce("results", F.lit(0))).alias("rows"),
+        ),
+        "repeated",
     )
     nothing = F.lit(None).cast("string")
     loose_calls = calls.filter("call IS NULL").select(
         "conversation", "position", "call", F.lit(0).cast("long").alias("depth"), F.lit("unidentified").alias("status"), "name", "arguments",
-        F.lit(0).cast("long").alias("repeats"), F.lit(0).cast("long").alias("results"), nothing.alias("content"),
+        F.lit(0).cast("long").alias("repeats"), F.lit(0).cast("long").alias("results"), nothing.alias("content"), F.lit(True).alias("is_call"),
     )
     loose_results = results.filter("call IS NULL").select(
         "conversation", "position", "call", F.lit(None).cast("long").alias("depth"), F.lit("orphan").alias("status"), nothing.alias("name"), nothing.alias("arguments"),
-        F.lit(None).cast("long").alias("repeats"), F.lit(1).cast("long").alias("results"), "content",
+        F.lit(None).cast("long").alias("repeats"), F.lit(1).cast("long").alias("results"), "content", F.lit(False).alias("is_call"),
     )
-    rows = reduce(DataFrame.unionByName, [linked, loose_calls, loose_results])
-    errors = F.when(F.col("status") == "orphan", F.array().cast("array<string>")).otherwise(argument_errors(F.col("name"), F.col("arguments"), schemas))
+    parts = [linked, loose_calls, loose_results]
+    if not lookup.isEmpty():
+        further_calls = _looked_up(known.join(named.select("row"), "row", "left_anti"), lookup).join(depth, F.col("row") == F.col("of_row"), "left")
+        first_results = met.filter("answer IS NOT NULL").select(F.col("answer.row").alias("row"))
+        further_results = _looked_up(results.filter("call IS NOT NULL").join(first_results, "row", "left_anti"), lookup)
+        parts = [
+            further_calls.select("conversation", "position", "call", "depth", "status", "name", "arguments", "repeats", "results", nothing.alias("content"), F.lit(True).alias("is_call")),
+            further_results.select(
+                "conversation", "position", "call", F.lit(None).cast("long").alias("depth"), "status", nothing.alias("name"), nothing.alias("arguments"), "repeats", "results", "content", F.lit(False).alias("is_call"),
+            ),
+            *parts,
+        ]
+    rows = reduce(DataFrame.unionByName, parts)
+    errors = F.when(~F.col("is_call"), F.array().cast("array<string>")).otherwise(argument_errors(F.col("name"), F.col("arguments"), schemas))
     # Keys in order; null fields are left out, and arguments that aren't JSON stay as text.
     json = F.to_json(
         F.struct(
