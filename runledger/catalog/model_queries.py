@@ -1,8 +1,7 @@
 """Spark ML training and evaluation, and the streaming operators.
 
-Ensembles are kept small here: a forest of the default settings takes minutes to
-fit on a few cores, and cross-validation fits forty models. The library's
-defaults are in regression.SETTINGS.
+Every model has the library's settings (regression.SETTINGS); a forest of these
+takes minutes to fit on a few cores, and cross-validation fits forty models.
 """
 
 from __future__ import annotations
@@ -21,9 +20,6 @@ from runledger.session import new_path, stage
 from runledger.sources import readers, sinks
 from runledger.streaming import ingest
 
-SMALL = {
-    "random_forest": {"numTrees": 12, "maxDepth": 6}, "gradient_boosting": {"maxIter": 8}, "decision_tree": {"maxDepth": 6},
-}
 _CELLS = "SELECT DISTINCT cloud, region, electricity_zone, dataset_size_mb, workload_type, machine_type, nodes FROM {dataset}"
 
 
@@ -55,7 +51,7 @@ def _(t):
     cells = _cells(t)
     table = None
     for model_type in regression.LABELS:
-        scored = regression.unclamped(regression.fit(cells, model_type, **SMALL.get(model_type, {})), cells)
+        scored = regression.unclamped(regression.fit(cells, model_type), cells)
         rows = regression.long_predictions(scored).withColumn("model", F.lit(model_type))
         table = rows if table is None else table.unionByName(rows)
     return statistics.regression_metrics(table, ["model", "target"])
@@ -73,7 +69,7 @@ def _(t):
 
 
 def _validated(t):
-    return t.shared("validated", lambda: regression.cross_validate(t("dataset"), **SMALL))
+    return t.shared("validated", lambda: regression.cross_validate(t("dataset")))
 
 
 _FITTED = "(SELECT unnest(['linear_regression', 'decision_tree', 'random_forest', 'gradient_boosting']) AS model)"
@@ -110,7 +106,7 @@ def _(t):
 
 
 def _compared(t):
-    return t.shared("compared", lambda: regression.compare_models(t("dataset"), **SMALL)["predictions"])
+    return t.shared("compared", lambda: regression.compare_models(t("dataset"))["predictions"])
 
 
 @query("j6_actual_and_predicted")
@@ -137,13 +133,13 @@ def _(t):
 @query("j7_feature_importances")
 def _(t):
     cells = _cells(t)
-    return regression.feature_importances(regression.fit(cells, "decision_tree", maxDepth=6), cells)
+    return regression.feature_importances(regression.fit(cells, "decision_tree"), cells)
 
 
 @query("h6_ranked_importances", f"SELECT target, CAST(n AS BIGINT) AS features, TRUE AS sums_to_one FROM (SELECT COUNT(DISTINCT cloud) + COUNT(DISTINCT region) + COUNT(DISTINCT electricity_zone) + COUNT(DISTINCT workload_type) + COUNT(DISTINCT machine_type) + 4 AS n FROM ({_CELLS})), (SELECT unnest(['runtime_minutes', 'cost_usd']) AS target)")
 def _(t):
     cells = _cells(t)
-    ranked = regression.feature_importances(regression.fit(cells, "decision_tree", maxDepth=4), cells)
+    ranked = regression.feature_importances(regression.fit(cells, "decision_tree"), cells)
     return ranked.groupBy("target").agg(F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-3).alias("sums_to_one"))
 
 
@@ -176,7 +172,7 @@ def _(t):
 
 @query("j10_single_model")
 def _(t):
-    return regression.train(t("dataset"), "decision_tree", new_path(t.spark, "model"), maxDepth=6)[1]
+    return regression.train(t("dataset"), "decision_tree", new_path(t.spark, "model"))[1]
 
 
 # ---------------------------------------------------------------------------

@@ -318,7 +318,7 @@ def _(t):
 """)
 def _(t):
     rows = regression.model_rows(t("dataset"))
-    models = regression.fit(regression.training_cells(rows), "decision_tree", maxDepth=6)
+    models = regression.fit(regression.training_cells(rows), "decision_tree")
     path = new_path(t.spark, "model")
     regression.save(models, path)
     cells = rows.select(*fv.FEATURES).distinct()
