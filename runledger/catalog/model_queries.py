@@ -151,23 +151,62 @@ def _(t):
     return scored.groupBy("workload_type").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.coalesce(low, F.lit(True))).alias("below_limits"))
 
 
-@query("j8_model_recommendations")
-def _(t):
+def _model_recommendations(t, model_type):
     """Requests answered by a fitted model in place of the workload means."""
     runs = t("dataset")
-    models = regression.fit(_cells(t), "linear_regression")
+    models = regression.fit(_cells(t), model_type)
     sizes = t("requests").select("workload_type", F.col("dataset_size_mb").cast("double").alias("dataset_size_mb")).distinct()
     scored = recommend.scored_candidates(runs, t("power"), t("vcpus"), lambda c: regression.predict(models, c.join(sizes, "workload_type")))
     requests = t("requests").withColumns({c: F.col(c).cast("double") for c in ("dataset_size_mb", "sla_runtime_minutes")})
     return scoring.report(recommend.recommend(requests, scored, 3))
 
 
+def _model_quality(t, model_type, name):
+    """Every scenario is judged by a model that was fitted without it."""
+    runs = t("dataset")
+    left_out = regression.left_out_predictions(runs, model_type, name)
+    detail = evaluation.quality_detail(runs, {name: stage(left_out, "left-out")})
+    return evaluation.quality_summary(detail, [name])
+
+
+@query("j8_model_recommendations")
+def _(t):
+    return _model_recommendations(t, "linear_regression")
+
+
+@query("j8_tree_recommendations")
+def _(t):
+    return _model_recommendations(t, "decision_tree")
+
+
+@query("j8_forest_recommendations")
+def _(t):
+    return _model_recommendations(t, "random_forest")
+
+
+@query("j8_boosting_recommendations")
+def _(t):
+    return _model_recommendations(t, "gradient_boosting")
+
+
 @query("j9_model_quality")
 def _(t):
-    runs = t("dataset")
-    left_out = regression.left_out_predictions(runs, "linear_regression", "linear")
-    detail = evaluation.quality_detail(runs, {"linear": stage(left_out, "left-out")})
-    return evaluation.quality_summary(detail, ["linear"])
+    return _model_quality(t, "linear_regression", "linear")
+
+
+@query("j9_tree_quality")
+def _(t):
+    return _model_quality(t, "decision_tree", "tree")
+
+
+@query("j9_forest_quality")
+def _(t):
+    return _model_quality(t, "random_forest", "forest")
+
+
+@query("j9_boosting_quality")
+def _(t):
+    return _model_quality(t, "gradient_boosting", "boosting")
 
 
 @query("j10_single_model")
