@@ -16,6 +16,7 @@ as good as the prior, 0.5) and all documents are kept. Texts are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -48,8 +49,7 @@ def features(text: str) -> list[float]:
     share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
     distinct = set(words)
     repeated = sum(map(eq, words, words[1:]))
-    # The most frequent word can only matter where words recur.
-    top = max(map(words.count, distinct)) if len(distinct) < 8 and words else 1 + repeated
+    top = max(Counter(words).values()) if words else 1
     return [
         np.log1p(len(words)), size / n / 10, share(_UPPER), share(_DIGIT), share(_PUNCTUATION), share(_SYMBOL), raw.count(b"!") / n, raw.count(b"|") / n,
         repeated / n, len(distinct) / n, min(1.0, top / n), share(b" \t\n\r\x0b\x0c"),
