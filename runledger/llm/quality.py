@@ -10,7 +10,8 @@ global prior replaced by its path's posterior.
 Defined cases: a null text is an empty one. A null host or path is a place of
 its own. A null, repeated or unknown document id passes through; labels with a
 null id or a null class are ignored, and a label that is repeated counts each
-time. Without labels of both classes the model says nothing (every document is
+time. Of the documents with a labelled id, the first by its text's hash is
+fitted. Without labels of both classes the model says nothing (every document is
 as good as the prior, 0.5) and all documents are kept. Texts are read whole.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import fresh, slices
+from runledger.llm.common import arrow_schema, fresh, slices
 from runledger.session import stage
 
 #: Labelled documents that the model is fitted on at most; they are the first by a hash of their id.
@@ -93,13 +94,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("double").alias("y")).filter("key IS NOT NULL AND y IS NOT NULL")
     wanted = stage(wanted.orderBy(F.xxhash64("key"), "key", "y").limit(rows), "label-sample")
 
+    # One document stands for each labelled id, so an id that many documents share weighs no more than others.
+    labelled = wanted.groupBy("key").agg(F.collect_list("y").alias("ys"))
+    out = T.StructType([*wanted.select("key").schema, *T.StructType.fromDDL("hash long, x array<double>")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = arrow_schema(out)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(batch.column(0).to_pylist())), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(_matrix(batch.column(2).to_pylist())), pa.list_(pa.float64()))], schema=fields)
 
-    # The sample is bounded by its row number, and two numbers wide.
-    joined = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(wanted), "key").select("body", "y")
-    sample = joined.mapInArrow(run, "x array<double>, y double").collect()
+    named = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(labelled.select("key")), "key")
+    shapes = named.select("key", F.xxhash64("body").alias("hash"), "body").mapInArrow(run, out)
+    firsts = shapes.groupBy("key").agg(F.min(F.struct("hash", "x")).alias("first"))
+    # A row for each sampled label at most: bounded by its row number, and two numbers wide.
+    sample = firsts.join(F.broadcast(labelled), "key").select("first.x", F.explode("ys").alias("y")).collect()
     y = np.array([r["y"] for r in sample])
     if len(np.unique(y)) < 2:
         return None
