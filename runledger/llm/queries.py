@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, packing, quality, simhash_dedup, tool_calls, url_filter
+from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, packing, periodic_runs, quality, simhash_dedup, tool_calls, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,34 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"), keep=["doc_id", "source", "lang"])
     return judged.select("doc_id", "source", "lang", f"{judged.columns[-1]}.*")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by the id's checksum, the words from some place on repeat a few of them."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    draw = F.floor(checksum / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        first = F.pmod(draw, n)
+        period = F.lit(1).cast("long") + F.floor((n - first) / (F.lit(3) + F.pmod(draw, F.lit(8))))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < first, w).otherwise(F.get(words, (first + F.pmod(i - first, period)).cast("int")))), " ")
+
+    # The words are split once, as the element of an array.
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    altered = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeated(ws))), F.lit(0))
+    chosen = F.coalesce(F.pmod(checksum, F.lit(10)) == 0, F.lit(False))
+    return docs.select("doc_id", F.when(chosen, altered).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_runs(read(spark, folder, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
