@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, packing, periodic_runs, quality, simhash_dedup, tool_calls, url_filter
+from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, merkle_manifest, packing, periodic_runs, quality, simhash_dedup, tool_calls, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,6 +143,21 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "source", "lang", f"{judged.columns[-1]}.*")
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    altered = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    docs = docs.withColumn("claimed", merkle_manifest.leaf("doc_id", "source", "lang", altered, "text"))
+    found = merkle_manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], keep=["claimed"])
+    siblings = F.array_join(F.transform("proof", lambda step: F.concat(step["before"], step["behind"])), "")
+    folded = found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+        merkle_manifest.folded(F.col("kept.claimed"), F.col("proof")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the id's checksum, the words from some place on repeat a few of them."""
     checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
