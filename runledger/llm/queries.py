@@ -158,6 +158,40 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _manifest_sql() -> str:
+    """The trees level by level: nodes, then each leaf's walk up, first in its language, then among the subroots."""
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda n_chars: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+    crc = "list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))), lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))"
+
+    def nodes(name: str, start: str) -> str:
+        return f"""{name} AS (SELECT tree, 0 AS level, number, n, digest FROM {start} UNION ALL
+            SELECT tree, level + 1, number // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY number)) FROM {name} WHERE n > 1 GROUP BY tree, level, number // 2, n)"""
+
+    def walk(name: str, start: str, nodes: str) -> str:
+        return f"""{name} AS (SELECT doc_id, tree, 0 AS level, number, n, folded, proof FROM {start} UNION ALL
+            SELECT w.doc_id, w.tree, w.level + 1, w.number // 2, (w.n + 1) // 2,
+                CASE WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.number % 2 = 0 THEN sha256(w.folded || s.digest) ELSE sha256(s.digest || w.folded) END, w.proof || coalesce(s.digest, '')
+            FROM {name} w LEFT JOIN {nodes} s ON s.tree = w.tree AND s.level = w.level AND s.number = xor(w.number, 1) WHERE w.n > 1)"""
+
+    return f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE ':' || lang END AS tree, {leaf("n_chars")} AS digest, {leaf("(n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)")} AS folded, '' AS proof
+            FROM (SELECT *, xor({crc}, 4294967295) AS crc FROM documents)
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS number, COUNT(*) OVER (PARTITION BY tree) AS n FROM leaves),
+        {nodes("lower_nodes", "placed")}, {walk("lower_walk", "placed", "lower_nodes")},
+        subroots AS (SELECT tree AS lang, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS number, COUNT(*) OVER () AS n, '' AS tree FROM lower_nodes WHERE n = 1),
+        {nodes("upper_nodes", "subroots")},
+        halfway AS (SELECT w.doc_id, s.tree, s.number, s.n, w.folded, w.proof FROM lower_walk w JOIN subroots s ON s.lang = w.tree WHERE w.n = 1),
+        {walk("upper_walk", "halfway", "upper_nodes")}
+        SELECT p.doc_id, p.digest AS leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.digest AS verified
+        FROM placed p JOIN subroots s ON s.lang = p.tree JOIN upper_walk w ON w.doc_id = p.doc_id AND w.n = 1, (SELECT digest FROM upper_nodes WHERE n = 1) r
+    """
+
+
+ORACLES["op11_merkle_manifest"] = _manifest_sql()
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the id's checksum, the words from some place on repeat a few of them."""
     checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
