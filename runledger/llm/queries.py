@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, merkle_manifest, packing, periodic_runs, quality, simhash_dedup, tool_calls, url_filter
+from runledger.llm import byte_bpe, edit_fingerprints, graph_ann, licenses, line_dedup, merkle_manifest, packing, periodic_runs, prefix_free_parse, quality, simhash_dedup, tool_calls, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,6 +192,13 @@ def _manifest_sql() -> str:
 ORACLES["op11_merkle_manifest"] = _manifest_sql()
 
 
+@query
+def op12_prefix_free_parse(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_free_parse.drop_repeats(read(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the id's checksum, the words from some place on repeat a few of them."""
     checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
