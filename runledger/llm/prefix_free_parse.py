@@ -26,9 +26,9 @@ told by a 128-bit hash of the suffix and the parse instead of by its position:
 the order between different intervals is never needed, and a hash deals out what
 a sort would have to split.
 
-Rows that repeat inside a task are marked there and sent on once, so a string
-that a third of all documents hold reaches the task of its hash as one row for
-each batch. Documents are known by a 128-bit hash of their text; copies of a
+Rows that repeat inside a task's batch are marked there, and one of them is sent
+on for all, so a string that a third of all documents hold reaches the task of
+its hash as one row for each batch. Documents are known by a 128-bit hash of their text; copies of a
 text are parsed for themselves, and removed as a whole.
 
 Defined cases: a null text is an empty one; matches never cross documents, and
@@ -51,7 +51,8 @@ from runledger.llm.common import arrow_schema, slices
 from runledger.session import stage
 
 #: Bytes of a trigger (a power of two), the hash's modulus (about the bytes from one trigger to the next) and bytes of a string.
-WINDOW, MODULUS, LENGTH = 16, 48, 400
+#: A string should hold about ten triggers: with fewer, more strings have no whole phrase; with more, there are more phrases.
+WINDOW, MODULUS, LENGTH = 16, 40, 400
 #: Bytes of text, and rows, of which a task looks for repeats at once; positions that are hashed at once.
 BATCH_BYTES, BATCH_ROWS, CHUNK = 8 << 20, 200_000, 1 << 20
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -123,24 +124,35 @@ def _columns(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[] for _ in fields], fields, strict=True)], schema=fields)
 
 
-def _marked(hashes: np.ndarray, columns: list[np.ndarray], fields: pa.Schema) -> pa.RecordBatch:
-    """Rows of hash, mark and columns. hashes: two longs a row. Rows that repeat here are dealt by their place, one of them by its hash."""
+def _marked(hashes: np.ndarray, columns: list[np.ndarray], fields: pa.Schema, runs: bool) -> pa.RecordBatch:
+    """Rows of hash, mark and columns. hashes: two longs a row.
+
+    Rows that repeat here are dealt by their place, and one of them by its hash
+    as well. runs: the columns are a, b, low, high and more; what repeats here
+    from low to high and on from the next row is one row.
+    """
     first, second = hashes[:, 0], hashes[:, 1]
     order = np.lexsort((second, first))
     same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
-    mark = np.zeros(len(order), np.int8)
-    mark[order[1:][same]] = KNOWN
-    mark[order[:-1][same]] = KNOWN
+    known = np.zeros(len(order), bool)
+    known[order[1:][same]] = True
+    known[order[:-1][same]] = True
     opens = np.ones(len(order), bool)
     opens[1:] = ~same
-    witnesses = order[opens & (mark[order] == KNOWN)]
-    known = mark == KNOWN
-    spread = (np.arange(len(order), dtype=np.uint64) * np.uint64(MIX) + np.uint64(BASE)).view(np.int64)
-    dealt = [np.where(known, spread ^ np.roll(h, 1), h) for h in (first, second)]
-    every = np.concatenate([np.arange(len(order)), witnesses])
-    marks = np.concatenate([mark, np.full(len(witnesses), WITNESS, np.int8)])
-    values = [np.concatenate([d, h[witnesses]]) for d, h in zip(dealt, (first, second), strict=True)]
-    arrays = [*values, marks, *(c[every] for c in columns)]
+    witnesses, repeats, single = order[opens & known[order]], np.flatnonzero(known), np.flatnonzero(~known)
+    held = [c[repeats] for c in columns]
+    if runs and len(repeats):
+        text, low, high = held[:2], held[2], held[3]
+        begins = np.ones(len(repeats), bool)
+        begins[1:] = (text[0][1:] != text[0][:-1]) | (text[1][1:] != text[1][:-1]) | (low[1:] > high[:-1] + 1) | (low[1:] < low[:-1])
+        at = np.flatnonzero(begins)
+        held = [c[at] for c in held]
+        held[3] = np.maximum.reduceat(high, at)
+    spread = (np.arange(len(held[0]), dtype=np.uint64) * np.uint64(MIX)).view(np.int64) ^ (first[0] if len(first) else 0)
+    dealt = [spread, spread ^ held[0]]
+    values = [np.concatenate([h[single], d, h[witnesses]]) for h, d in zip((first, second), dealt, strict=True)]
+    marks = np.repeat(np.array([ONCE, KNOWN, WITNESS], np.int8), [len(single), len(spread), len(witnesses)])
+    arrays = [*values, marks, *(np.concatenate([c[single], h, c[witnesses]]) for c, h in zip(columns, held, strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(arrays, fields, strict=True)], schema=fields)
 
 
@@ -148,11 +160,12 @@ def _digests(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
-def _mapped(table: DataFrame, ddl: str, rows: Callable[[dict], Iterator[tuple]], marked: bool = False, once: bool = False) -> DataFrame:
+def _mapped(table: DataFrame, ddl: str, rows: Callable[[dict], Iterator[tuple]], marked: bool = False, runs: bool = False, once: bool = False) -> DataFrame:
     """rows(row) for every row of the table, batch by batch.
 
     marked: a row starts with a 16-byte hash, which becomes h1, h2 and mark; the
-    rest are longs. once: only the first of the rows with a key in a task.
+    rest are longs. runs: see _marked. once: only the first of the rows with a
+    key in a task.
     """
     out = T.StructType.fromDDL(("h1 long, h2 long, mark tinyint, " if marked else "") + ddl)
 
@@ -160,7 +173,7 @@ def _mapped(table: DataFrame, ddl: str, rows: Callable[[dict], Iterator[tuple]],
         if not marked or not held:
             return _columns(held, fields)
         raw, *rest = zip(*held, strict=True)
-        return _marked(_digests(raw), [np.array(c, np.int64) for c in rest], fields)
+        return _marked(_digests(raw), [np.array(c, np.int64) for c in rest], fields, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, held, size, seen = arrow_schema(out), [], 0, set()
@@ -274,10 +287,11 @@ def border_reach(parsed: DataFrame, window: int, modulus: int, length: int) -> D
     return stage(sorted_phrases.mapInArrow(run, out).groupBy(*KEY).agg(borders), "borders")
 
 
-def anchor_ranges(parsed: DataFrame, borders: DataFrame, window: int, modulus: int, length: int) -> DataFrame:
+def anchor_ranges(parsed: DataFrame, borders: DataFrame, copies: DataFrame, window: int, modulus: int, length: int) -> DataFrame:
     """a, b, low, high, y, repeated, lead: the strings that start from low to high all begin in one phrase; y is the phrase behind it.
 
-    A range is repeated if the same strings start elsewhere as well.
+    A range is repeated if the same strings start elsewhere as well. Ranges that
+    are known to be may be joined, and their y means nothing unless they lead.
     """
     import xxhash
 
@@ -295,15 +309,17 @@ def anchor_ranges(parsed: DataFrame, borders: DataFrame, window: int, modulus: i
                 high = min(end - window, most - length)
                 if low <= high:
                     digest = xxhash.xxh3_128_digest(parse.data[low : high + length], seed=end - low)
-                    yield digest, row["a"], row["b"], low, high, _hash64(parse.phrase(t)) - (1 << 63)
+                    made = digest, row["a"], row["b"], low, high, _hash64(parse.phrase(t)) - (1 << 63)
+                    # A copied text is parsed once in a task; its ranges repeat all the same.
+                    yield from (made,) * (2 if row["n"] else 1)
 
-    joined = parsed.join(borders.hint("shuffle_hash"), KEY, "left")
-    marked = _mapped(joined, "a long, b long, low long, high long, y long", ranges, marked=True)
+    joined = parsed.join(borders.hint("shuffle_hash"), KEY, "left").join(copies.select(*KEY, "n"), KEY, "left")
+    marked = _mapped(joined, "a long, b long, low long, high long, y long", ranges, marked=True, runs=True)
     return stage(_in_classes(marked, "low"), "ranges")
 
 
 def single_strings(texts: DataFrame, parsed: DataFrame, ranges: DataFrame, window: int, modulus: int, length: int) -> DataFrame:
-    """a, b, low: the strings that start elsewhere too, of those with fewer than two triggers and of the ranges without an equal."""
+    """a, b, low, high: the strings that start elsewhere too, of those with fewer than two triggers and of the ranges without an equal."""
     import xxhash
 
     digest = xxhash.xxh3_128_digest
@@ -318,7 +334,7 @@ def single_strings(texts: DataFrame, parsed: DataFrame, ranges: DataFrame, windo
         highs = np.append(places[1:] - (length - window) - 1, last) if len(places) else np.array([last])
         for k in np.flatnonzero(lows <= highs).tolist():
             for at in range(max(int(lows[k]), done + 1), min(int(highs[k]), last) + 1):
-                yield digest(data[at : at + length]), row["a"], row["b"], at
+                yield digest(data[at : at + length]), row["a"], row["b"], at, at
                 done = at
 
     open_ranges = ranges.filter("NOT repeated")
@@ -331,13 +347,13 @@ def single_strings(texts: DataFrame, parsed: DataFrame, ranges: DataFrame, windo
         data = row["text"].encode()
         for x in row["asked"]:
             for at in range(x["low"], x["high"] + 1):
-                yield digest(data[at : at + length]), row["a"], row["b"], at
+                yield digest(data[at : at + length]), row["a"], row["b"], at, at
 
-    ddl = "a long, b long, low long"
-    few = _mapped(texts, ddl, sparse, marked=True)
-    rest = _mapped(parsed.select(*KEY, "text").join(asked.hint("shuffle_hash"), KEY), ddl, singles, marked=True)
+    ddl = "a long, b long, low long, high long"
+    few = _mapped(texts, ddl, sparse, marked=True, runs=True)
+    rest = _mapped(parsed.select(*KEY, "text").join(asked.hint("shuffle_hash"), KEY), ddl, singles, marked=True, runs=True)
     # Apart, since a range may hold strings with one trigger as well.
-    found = [_in_classes(rows, "low").filter("repeated").select(*KEY, "low") for rows in (few, rest)]
+    found = [_in_classes(rows, "low").filter("repeated").select(*KEY, "low", "high") for rows in (few, rest)]
     return found[0].unionByName(found[1])
 
 
@@ -346,13 +362,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     if window & (window - 1) or window >= length:
         raise ValueError("window must be a power of two below length")
     texts = keyed(docs, text_col)
+    counted = texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("end"))
+    copies = stage(counted.filter((F.col("n") > 1) & (F.col("end") >= length)), "copies")
     parsed = repeated_stretches(texts, window, modulus, length)
-    ranges = anchor_ranges(parsed, border_reach(parsed, window, modulus, length), window, modulus, length)
+    ranges = anchor_ranges(parsed, border_reach(parsed, window, modulus, length), copies, window, modulus, length)
     singles = single_strings(texts, parsed, ranges, window, modulus, length)
-    copies = texts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= length))
     covers = [
         ranges.filter("repeated").select(*KEY, F.col("low").alias("start"), (F.col("high") + length).alias("end")),
-        singles.select(*KEY, F.col("low").alias("start"), (F.col("low") + length).alias("end")),
+        singles.select(*KEY, F.col("low").alias("start"), (F.col("high") + length).alias("end")),
         copies.select(*KEY, F.lit(0).cast("long").alias("start"), "end"),
     ]
     every = covers[0].unionByName(covers[1]).unionByName(covers[2])
