@@ -2,7 +2,8 @@
 
 Runs that repeat a configuration share all features, so models are fitted on
 one weighted row per distinct feature vector: for squared error that gives the
-same least-squares and tree fits as the single runs, on far fewer rows.
+same least-squares and tree fits as the single runs, on far fewer rows. Forests
+and boosted trees over few such rows are grown side by side (ensembles.py).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from runledger import fixed_values as fv
 from runledger.functions import measures
 from runledger.functions.labels import group_key
-from runledger.operators import cleaning, statistics
+from runledger.operators import cleaning, ensembles, statistics
 from runledger.operators.quantiles import exact_quantiles
 from runledger.session import stage
 
@@ -85,7 +86,31 @@ def _tasks(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
+class Ensembles(dict):
+    """A forest or boosted trees per target, grown where rows are scored. As a dictionary it holds Spark ML's pipelines, fitted when asked for."""
+
+    def __init__(self, cells: DataFrame, model_type: str, overrides: dict) -> None:
+        super().__init__()
+        self.cells, self.model_type, self.overrides = cells, model_type, overrides
+
+    def items(self):
+        if not len(self):
+            self.update(pipelines(self.cells, self.model_type, **self.overrides))
+        return super().items()
+
+    def scored(self, features: DataFrame) -> DataFrame:
+        found = ensembles.scores(self.cells, features, self.model_type, {**SETTINGS[self.model_type], **self.overrides})
+        return features.join(found, fv.FEATURES).select(*features.columns, *[f"predicted_{t}" for t in fv.TARGETS])
+
+
 def fit(cells: DataFrame, model_type: str, **overrides) -> Models:
+    """A model per target. Ensembles of few cells are grown where they are used, beside others; the rest is fitted here."""
+    if model_type in ("random_forest", "gradient_boosting") and cells.limit(ensembles.GROUP_CELLS + 1).count() <= ensembles.GROUP_CELLS:
+        return Ensembles(cells, model_type, overrides)
+    return pipelines(cells, model_type, **overrides)
+
+
+def pipelines(cells: DataFrame, model_type: str, **overrides) -> Models:
     """One fitted pipeline per target; the preprocessing is fitted once for both."""
     prepared = Pipeline(stages=preprocessing()).fit(cells)
     spread = prepared.transform(cells).select("features", "weight", *fv.TARGETS).repartition(_tasks(cells))
@@ -101,18 +126,15 @@ def fit(cells: DataFrame, model_type: str, **overrides) -> Models:
 
 def predict(models: Models, features: DataFrame) -> DataFrame:
     """features with clamped predictions of runtime and cost."""
-    keep = features.columns
-    out = features
-    for target, model in models.items():
-        scored = model.transform(out)
-        out = scored.select(*keep, *[c for c in scored.columns if c.startswith("predicted_") and c not in keep])
-    return out.withColumns({
+    return unclamped(models, features).withColumns({
         "predicted_runtime_minutes": measures.clamped_runtime(F.col("predicted_runtime_minutes")),
         "predicted_cost_usd": measures.clamped_cost(F.col("predicted_cost_usd")),
     })
 
 
 def unclamped(models: Models, features: DataFrame) -> DataFrame:
+    if isinstance(models, Ensembles):
+        return models.scored(features)
     keep = features.columns
     out = features
     for target, model in models.items():
@@ -283,9 +305,9 @@ def left_out_predictions(dataset: DataFrame, model_type: str, name: str | None =
     def scenario_predictions(scenario: tuple) -> DataFrame:
         inside = (F.col("workload_type") == scenario[0]) & (F.col("dataset_size_mb") == scenario[1])
         models = fit(cells.filter(~inside), model_type, **overrides)
-        return stage(predict(models, cells.filter(inside).select(*fv.FEATURES)), "left-out")
+        return predict(models, cells.filter(inside).select(*fv.FEATURES))
 
-    blocks = _union(_in_parallel(dataset.sparkSession, scenario_predictions, scenarios, parallelism))
+    blocks = stage(_union(_in_parallel(dataset.sparkSession, scenario_predictions, scenarios, parallelism)), "left-out")
     return blocks.groupBy(*fv.SCENARIO, *fv.CONFIG).agg(
         F.min(F.struct("electricity_zone", "predicted_runtime_minutes", "predicted_cost_usd")).alias("_p")
     ).select(
