@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,31 +26,24 @@ def result_stream(spark: SparkSession, folder: str, files_per_batch: int | None
 RUN = [*VM_RUN_KEY, "Timestamp"]
 
 
-def ingest(results: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def ingest(results: DataFrame, table: str, checkpoint: str, files: int = 4) -> StreamingQuery:
     """Append each new run once to a Parquet table, though snapshots repeat it: all files present, then stop.
 
-    What is known is read from the table itself, so no state is kept and no run
-    is ever too late. The table is split by run date within each batch; a batch
-    is compared with the stored runs of its own dates only (the join prunes the
-    other folders). It overwrites its own folder, so a batch repeated after a
-    failure leaves no second copy.
+    The runs seen so far are the stream's state, kept by run without a limit in
+    time: no run is ever too late, and a batch touches the state of its own runs
+    only. The stored table is never read, whatever its size. Of rows that agree
+    in RUN the first to arrive is kept (of one batch, any). A batch is written as
+    `files` files below its own folder and overwrites it, so a batch repeated
+    after a failure leaves no second copy.
+
+    On a cluster keep the state in RocksDB (spark.sql.streaming.stateStore.providerClass).
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(RUN).withColumn("run_date", F.to_date("Timestamp"))
-        try:
-            stored = spark.read.parquet(table)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            known = stored.filter(F.col("batch") != number).select(*[F.col(c).alias(f"known_{c}") for c in [*RUN, "run_date"]])
-            same = reduce(lambda a, b: a & b, [new[c].eqNullSafe(known[f"known_{c}"]) for c in [*RUN, "run_date"]])
-            new = new.join(known, same, "left_anti")
-        new.write.mode("overwrite").partitionBy("run_date").parquet(f"{table}/batch={number}")
-
-    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.repartition(files).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    new = results.dropDuplicates(RUN)
+    return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def enrich_runs(lowest: DataFrame, features: DataFrame, model: str = "on-demand") -> Callable[[DataFrame], DataFrame]:

@@ -44,6 +44,25 @@ def test_snapshots_are_ingested_once(spark, tmp_path):
     assert batch.count() == 6 and readers.latest_runs(readers.read_result_drops(spark, landing)).count() == 6
 
 
+def test_ingest_reads_no_stored_run_and_writes_few_files(spark, tmp_path):
+    """What is known doesn't come from the table: an archived batch stays known. Files don't follow the dates."""
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "table", "checkpoint"))
+
+    def drain():
+        ingest.ingest(ingest.result_stream(spark, landing, 1), table, checkpoint, files=2).awaitTermination()
+
+    days = F.expr("Timestamp + make_interval(0, 0, 0, Run_Number)")
+    sinks.write_csv(vm_rows(spark, 50).withColumn("Timestamp", days), f"{landing}/50")
+    drain()
+    assert spark.read.parquet(table).count() == 50
+    assert all(len(list(folder.glob("*.parquet"))) <= 2 for folder in (tmp_path / "table").glob("batch=*"))
+    shutil.move(table, str(tmp_path / "archive"))
+    sinks.write_csv(vm_rows(spark, 53).withColumn("Timestamp", days), f"{landing}/53")
+    drain()
+    assert sorted(r.Run_Number for r in spark.read.parquet(table).collect()) == [51, 52, 53]
+    assert all(len(list(folder.glob("*.parquet"))) <= 2 for folder in (tmp_path / "table").glob("batch=*"))
+
+
 def test_enriched_stream_splits_and_can_be_repeated(spark, tmp_path):
     landing, table, failed = (str(tmp_path / n) for n in ("landing", "table", "failed"))
     sinks.write_csv(vm_rows(spark, 4), landing)
