@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
 from runledger.catalog.registry import query
 from runledger.catalog.relational_queries import rounded
 from runledger.functions import labels
-from runledger.operators import enrich, evaluation, scoring, statistics
+from runledger.operators import evaluation, scoring, statistics
 from runledger.plans import recommend, reports
 from runledger.session import new_path, stage
 from runledger.sources import sinks
@@ -137,13 +139,10 @@ def _(t):
     return rounded(recommend.cheapest_within_sla(requests, t.sql(_PRICED), t.sql(_MACHINE_MEANS)), skip=("sla_runtime_minutes",))
 
 
-@query("d5_allowed_categories", f"SELECT workload_type, instance_type, nodes FROM (SELECT DISTINCT workload_type FROM {{runs}}), ({_PRICED}) WHERE {_LEGACY_ALLOWED}")
+@query("d5_allowed_categories", f"SELECT m.workload_type, c.instance_type, c.nodes, c.category FROM ({_MACHINE_MEANS}) m JOIN ({_PRICED}) c ON m.instance_type = c.instance_type AND m.nodes = c.nodes WHERE {_LEGACY_ALLOWED.replace('workload_type', 'm.workload_type').replace('category', 'c.category')}")
 def _(t):
-    """Candidates whose category the workload allows, through one request per workload."""
-    requests = t.sql("SELECT DISTINCT workload_type AS request_id, workload_type, CAST(9 AS DOUBLE) AS sla_runtime_minutes FROM {runs}")
-    allowed = labels.literal_map({w: "|".join(c) for w, c in fv.CATEGORIES_BY_WORKLOAD.items()})[F.col("workload_type")]
-    categories = requests.select("workload_type", F.explode(F.split(allowed, r"\|")).alias("category"))
-    return enrich.priced_candidates(t.sql(_PRICED).select("instance_type", "nodes", "category"), t.sql("SELECT DISTINCT machine_type AS instance_type FROM {runs}")).join(categories, "category").select("workload_type", "instance_type", "nodes")
+    """What a workload is offered: its predicted candidates in the categories that it allows."""
+    return recommend.allowed_offers(t.sql(_MACHINE_MEANS), t.sql(_PRICED)).select("workload_type", "instance_type", "nodes", "category")
 
 
 @query("h4_fastest_candidates", f"SELECT workload_type, {CONFIG_SQL}, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY workload_type ORDER BY predicted_runtime_minutes, {CONFIG_SQL}) AS position FROM {{scored}}) WHERE position <= 10")
@@ -282,10 +281,15 @@ def _(t):
     return evaluation.search_space(evaluation.ground_truth(t("dataset")))
 
 
-@query("j9_skipped_scenarios", f"SELECT {_S}, concat('only ', COUNT(DISTINCT (cloud, region, machine_type, nodes)), ' configs') AS reason FROM {{dataset}} WHERE workload_type <> 'cpu-heavy' OR (machine_type = 'SMALL' AND region = 'ASIA' AND cloud = 'AWS') GROUP BY 1, 2 HAVING COUNT(DISTINCT (cloud, region, machine_type, nodes)) < 5")
+_FEW = "workload_type <> 'cpu-heavy' OR (machine_type = 'SMALL' AND region = 'ASIA' AND cloud = 'AWS')"
+
+
+@query("j9_skipped_scenarios", f"SELECT {_S}, concat('only ', COUNT(DISTINCT (cloud, region, machine_type, nodes)), ' configs') AS reason FROM (SELECT * REPLACE (CASE WHEN {_FEW} THEN dataset_size_mb ELSE dataset_size_mb + 100000 END AS dataset_size_mb) FROM {{dataset}}) GROUP BY 1, 2 HAVING COUNT(DISTINCT (cloud, region, machine_type, nodes)) < 5")
 def _(t):
-    few = t("dataset").filter("workload_type <> 'cpu-heavy' or (machine_type = 'SMALL' and region = 'ASIA' and cloud = 'AWS')")
-    return evaluation.skipped_scenarios(evaluation.cells(few), min_candidates=5)
+    """Most runs of one workload are taken for those of a larger size, which leaves few in its own scenarios."""
+    size = F.col("dataset_size_mb")
+    moved = t("dataset").withColumn("dataset_size_mb", F.when(F.expr(_FEW), size).otherwise(size + 100000))
+    return evaluation.skipped_scenarios(evaluation.cells(moved), min_candidates=5)
 
 
 # ---------------------------------------------------------------------------
@@ -402,18 +406,67 @@ def _(t):
     return statistics.average_metrics(per_fold(t), ["model", "fold"])
 
 
-@query("k11_exploration", "SELECT workload_type, machine_type, round(AVG(cost_usd), 6) AS cost_usd, round(quantile_cont(runtime_minutes, 0.5), 6) AS median_runtime FROM {dataset} GROUP BY 1, 2")
+_LONG = "concat_ws('|', {keys}) AS key, unnest([{names}]) AS measure, unnest([{values}]) AS value"
+
+
+def _digits(table: str) -> int:
+    """Single values are compared almost as they are, aggregates to fewer digits."""
+    return 12 if table == "scatter" else 6
+
+
+def _long_sql(table: str, source: str, keys: list[str], measures: list[str]) -> str:
+    text = _LONG.format(keys=", ".join(f"CAST({k} AS VARCHAR)" for k in keys) or "''", names=", ".join("'" + m.strip('"') + "'" for m in measures), values=", ".join(f"round(CAST({m} AS DOUBLE), {_digits(table)})" for m in measures))
+    return f"SELECT '{table}' AS table_name, {text} FROM ({source})"
+
+
+def _long(table: DataFrame, name: str, keys: list[str], measures: list[str]) -> DataFrame:
+    """(table_name, key, measure, value) rows, so that tables of any shape can be compared together."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(F.col(m).cast("double"), _digits(name)).alias("value")) for m in measures)))
+    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("")
+    return table.select(F.lit(name).alias("table_name"), key.alias("key"), pairs.alias("_p")).select("table_name", "key", "_p.*")
+
+
+_NUMBERS = ["dataset_size_mb", "nodes", "runtime_minutes", "cost_usd"]
+_QUARTER = "quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75"
+_TEXT_SQL = "SELECT '{c}' AS \"column\", COUNT({c}) AS count, COUNT(DISTINCT {c}) AS \"unique\", (SELECT {c} FROM {{dataset}} GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS top, (SELECT COUNT(*) FROM {{dataset}} GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS freq FROM {{dataset}}"
+_GROUP = ["dataset_size_mb", "workload_type", "machine_type", "nodes"]
+_EXPLORED = {
+    "summary": (
+        "SELECT COUNT(*) AS rows, MIN(runtime_minutes) AS runtime_min, round(AVG(runtime_minutes), 4) AS runtime_mean, MAX(runtime_minutes) AS runtime_max, MIN(cost_usd) AS cost_min, round(AVG(cost_usd), 6) AS cost_mean, MAX(cost_usd) AS cost_max, "
+        + ", ".join(f"COUNT(DISTINCT {c}) AS {n}" for c, n in zip(_GROUP, ("sizes", "workloads", "machines", "node_counts"), strict=True)) + " FROM {dataset}",
+        [], ["rows", "runtime_min", "runtime_mean", "runtime_max", "cost_min", "cost_mean", "cost_max", "sizes", "workloads", "machines", "node_counts"],
+    ),
+    "numeric_profile": (
+        " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, AVG({c}) AS mean, stddev_samp({c}) AS std, MIN({c}) AS min, {_QUARTER.format(c=c)}, MAX({c}) AS max FROM {{dataset}}" for c in _NUMBERS),
+        ['"column"'], ["count", "mean", "std", "min", "p25", "p50", "p75", "max"],
+    ),
+    "text_profile": (" UNION ALL ".join(_TEXT_SQL.format(c=c) for c in ("workload_type", "machine_type")), ['"column"', "top"], ["count", '"unique"', "freq"]),
+    "grouped_summary": ("SELECT dataset_size_mb, workload_type, machine_type, nodes, AVG(runtime_minutes) AS runtime_mean, AVG(cost_usd) AS cost_mean, COUNT(*) AS runs FROM {dataset} GROUP BY 1, 2, 3, 4", _GROUP, ["runtime_mean", "cost_mean", "runs"]),
+    "mean_cost": ("SELECT workload_type, machine_type, AVG(cost_usd) AS cost_usd FROM {dataset} GROUP BY 1, 2", ["workload_type", "machine_type"], ["cost_usd"]),
+    "runtime_box": (f"SELECT workload_type, machine_type, MIN(runtime_minutes) AS least, {_QUARTER.format(c='runtime_minutes')}, MAX(runtime_minutes) AS greatest FROM {{dataset}} GROUP BY 1, 2", ["workload_type", "machine_type"], ["least", "p25", "p50", "p75", "greatest"]),
+    "runtime_by_size": ("SELECT workload_type, machine_type, nodes, dataset_size_mb, AVG(runtime_minutes) AS runtime_minutes FROM {dataset} GROUP BY 1, 2, 3, 4", ["workload_type", "machine_type", "nodes", "dataset_size_mb"], ["runtime_minutes"]),
+    "scatter": ("SELECT runtime_minutes, cost_usd, workload_type, machine_type, dataset_size_mb, nodes FROM {dataset}", ["workload_type", "machine_type", "dataset_size_mb", "nodes"], ["runtime_minutes", "cost_usd"]),
+}
+
+
+@query("k11_exploration", " UNION ALL ".join(_long_sql(n, *x) for n, x in _EXPLORED.items()))
 def _(t):
+    """All eight tables of the exploration, one under the other."""
     tables = reports.exploration(t("dataset"))
-    box = tables["runtime_box"].select("workload_type", "machine_type", F.col("p50").alias("median_runtime"))
-    return rounded(tables["mean_cost"].join(box, ["workload_type", "machine_type"]))
+    tables["summary"] = tables["summary"].select(
+        "rows", *(F.col(f"{c}.{m}").alias(f"{c.split('_')[0]}_{m}") for c in fv.TARGETS for m in ("min", "mean", "max")),
+        *(F.size(c).alias(n) for c, n in (("dataset_sizes_mb", "sizes"), ("workloads", "workloads"), ("machine_types", "machines"), ("node_counts", "node_counts"))),
+    )
+    bare = lambda names: [n.strip('"') for n in names]
+    parts = [_long(tables[n], n, bare(keys), bare(measures)) for n, (_, keys, measures) in _EXPLORED.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_CLEANED = "(SELECT DISTINCT * FROM {raw_runs}) x WHERE lower(trim(workload_type)) <> 'gpu-heavy' AND nodes > 0 AND runtime_minutes > 0 AND runtime_minutes < 1440 AND cost_usd >= 0 AND source <> '' AND machine_type <> 't3.medium'"
 
 
-@query("k4_cleaning_profile", """
-    SELECT n AS "column", COUNT(v) AS count, round(AVG(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS p50 FROM (SELECT 'runtime_minutes' AS n, runtime_minutes AS v FROM c UNION ALL SELECT 'cost_usd', cost_usd FROM c) GROUP BY 1
-""".replace("FROM c", "FROM (SELECT DISTINCT * FROM {raw_runs}) x WHERE lower(trim(workload_type)) <> 'gpu-heavy' AND nodes > 0 AND runtime_minutes > 0 AND runtime_minutes < 1440 AND cost_usd >= 0 AND source <> '' AND machine_type <> 't3.medium'"))
+@query("k4_cleaning_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", COUNT({c}) AS count, round(AVG({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(MIN({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(MAX({c}), 6) AS max FROM {_CLEANED}""" for c in _NUMBERS))
 def _(t):
-    table = reports.cleaned_dataset(t("raw_runs"))["profile"].filter("column in ('runtime_minutes', 'cost_usd')")
-    return rounded(table.select("column", "count", "mean", "p50"))
+    return rounded(reports.cleaned_dataset(t("raw_runs"))["profile"])
 
 

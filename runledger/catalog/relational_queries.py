@@ -240,7 +240,8 @@ def _(t):
 
 @query("f16_missing_carbon", "SELECT COUNT(*) AS missing FROM {runs} WHERE region = 'ASIA'")
 def _(t):
-    daily = t("daily").filter("region_key <> 'asia'")
+    """The readings of one region are another's, so its runs have none."""
+    daily = t("daily").withColumn("region_key", F.when(F.col("region_key") == "asia", F.lit("elsewhere")).otherwise(F.col("region_key")))
     return profile.missing_reference(model_dataset.merged_dataset(t("runs"), daily), "carbon_intensity_mean")
 
 
@@ -300,7 +301,9 @@ def _(t):
     SELECT o.o_orderkey, coalesce(round(AVG(CASE WHEN l.l_discount > 0.02 THEN l.l_tax * 100.0 END), 2), CAST(0 AS DOUBLE)) AS cpu_avg_pct FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1
 """)
 def _(t):
-    samples = t("lineitem").filter("l_discount > 0.02").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_tax") * 100.0).alias("cpu_pct"))
+    """All samples are averaged; those with little discount belong to runs that no order is."""
+    run = F.when(F.col("l_discount") > 0.02, F.col("l_orderkey")).otherwise(-F.col("l_orderkey") - 1)
+    samples = t("lineitem").select(run.alias("o_orderkey"), (F.col("l_tax") * 100.0).alias("cpu_pct"))
     return enrich.with_cpu_mean(t("orders").select("o_orderkey"), samples, ["o_orderkey"])
 
 

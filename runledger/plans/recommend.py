@@ -92,6 +92,13 @@ def example_requests(spark, size_mb: float = 1024, sla: float = 5) -> DataFrame:
     return spark.createDataFrame(rows, "request_id string, workload_type string, dataset_size_mb double, sla_runtime_minutes double, goal string")
 
 
+def allowed_offers(predictions: DataFrame, priced: DataFrame) -> DataFrame:
+    """Predictions with the price and category of their candidate, where the workload allows the category (a workload without a list allows all)."""
+    allowed = labels.literal_map({w: "|".join(c) for w, c in fv.CATEGORIES_BY_WORKLOAD.items()})[F.col("workload_type")]
+    fits = allowed.isNull() | F.array_contains(F.split(allowed, r"\|"), F.col("category"))
+    return predictions.join(priced, ["instance_type", "nodes"]).filter(fits)
+
+
 def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: DataFrame) -> DataFrame:
     """Price-based choice per request: cheapest candidate within the SLA, else the fastest.
 
@@ -103,10 +110,8 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
     request that has no other is answered "no_priced_configuration", and one of
     an unknown workload "unknown_workload", both without a choice.
     """
-    allowed = labels.literal_map({w: "|".join(c) for w, c in fv.CATEGORIES_BY_WORKLOAD.items()})[F.col("workload_type")]
-    fits = allowed.isNull() | F.array_contains(F.split(allowed, r"\|"), F.col("category"))
     offered = (
-        stage(predictions.join(priced, ["instance_type", "nodes"]).filter(fits), "priced")
+        stage(allowed_offers(predictions, priced), "priced")
         .withColumn("predicted_runtime_minutes", measures.clamped_runtime(F.col("predicted_runtime_minutes")))
     )
     cost = F.round(F.col("hourly_price_usd") * F.col("nodes") * (F.col("predicted_runtime_minutes") / 60.0), 9)
