@@ -375,8 +375,15 @@ def _(t):
       FROM {requests} r JOIN {scored} s ON r.workload_type = s.workload_type) WHERE ok OR no_sla_match GROUP BY 1
 """)
 def _(t):
-    admitted = scoring.within_sla(t("requests").join(stage(t("scored")), "workload_type"))
-    return admitted.groupBy("request_id").agg(F.count(F.lit(1)).alias("admitted"), F.sum("nodes").alias("nodes"), F.bool_or("no_sla_match").alias("no_sla_match"))
+    """What an SLA admits is counted once for all requests that admit the same; a null SLA stays null."""
+    scored = stage(t("scored"))
+    placed = scoring.with_effective_sla(t("requests"), scored, ["workload_type"])
+    limit = F.when(F.col("sla_runtime_minutes").isNotNull(), F.coalesce("effective_sla", F.lit(-1.0)))
+    placed = stage(placed.select("request_id", "workload_type", limit.alias("sla_runtime_minutes")), "limits")
+    admitted = scoring.within_sla(placed.select("workload_type", "sla_runtime_minutes").distinct().join(scored, "workload_type"), ["workload_type", "sla_runtime_minutes"])
+    counted = admitted.groupBy(F.col("workload_type").alias("w"), F.col("sla_runtime_minutes").alias("s")).agg(F.count(F.lit(1)).alias("admitted"), F.sum("nodes").alias("nodes"), F.bool_or("no_sla_match").alias("no_sla_match"))
+    same = (F.col("workload_type") == F.col("w")) & F.col("sla_runtime_minutes").eqNullSafe(F.col("s"))
+    return placed.join(counted, same).select("request_id", "admitted", "nodes", "no_sla_match")
 
 
 @query("d6_unknown_workloads", "SELECT COUNT(*) AS requests FROM {requests} q WHERE NOT EXISTS (SELECT 1 FROM {runs} r WHERE r.workload_type = q.workload_type AND r.workload_type <> 'io-heavy')")

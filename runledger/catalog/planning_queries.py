@@ -67,14 +67,16 @@ def _(t):
 
 @query("g3_goal_scores", f"SELECT goal, COUNT(*) AS candidates, round(AVG(score), 6) AS mean_score, round(MAX(score), 6) AS greatest FROM {_ALL} GROUP BY 1")
 def _(t):
-    ranked = scoring.rank_candidates(scoring.expand_requests(t("requests"), _scored(t)))
-    return rounded(ranked.groupBy("goal").agg(F.count(F.lit(1)).alias("candidates"), F.avg("optimization_score").alias("mean_score"), F.max("optimization_score").alias("greatest")))
+    """Requests that admit the same candidates for the same goal share their scores."""
+    ranked = recommend.ranked_classes(t("requests"), _scored(t))
+    mean = F.sum(F.col("optimization_score") * F.col("requests")) / F.sum("requests")
+    return rounded(ranked.groupBy("goal").agg(F.sum("requests").alias("candidates"), mean.alias("mean_score"), F.max("optimization_score").alias("greatest")))
 
 
 @query("g4_ranks", f"SELECT workload_type, {CONFIG_SQL}, COUNT(*) AS requests, CAST(SUM(rank) AS BIGINT) AS rank_sum FROM {_ALL} GROUP BY 1, 2, 3, 4, 5")
 def _(t):
-    ranked = scoring.rank_candidates(scoring.expand_requests(t("requests"), _scored(t)))
-    return ranked.groupBy("workload_type", *fv.CONFIG).agg(F.count(F.lit(1)).alias("requests"), F.sum("rank").alias("rank_sum"))
+    ranked = recommend.ranked_classes(t("requests"), _scored(t))
+    return ranked.groupBy("workload_type", *fv.CONFIG).agg(F.sum("requests").alias("requests"), F.sum(F.col("rank") * F.col("requests")).alias("rank_sum"))
 
 
 @query("g12_top_three", f"SELECT request_id, rank, machine_type, nodes FROM {_ALL} WHERE rank <= 3")

@@ -53,18 +53,50 @@ def _undominated_rows(scenario: list[str], objectives: list[str]):
     return run
 
 
+#: Weights of the three objectives, each against its range, by which strong rows are found: the three alone, pairs, and all in several shares.
+_DIRECTIONS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1), (4, 1, 1), (1, 4, 1), (1, 1, 4), (1, 4, 4), (4, 1, 4), (4, 4, 1)]
+
+
+def corner_points(known: DataFrame, scenario: list[str], objectives: list[str]) -> DataFrame:
+    """Per scenario a few rows (`_corners`, an array of objective values) that are least in some weighting of the objectives. Two aggregations."""
+    ranges = known.groupBy(*scenario).agg(*[F.min(F.col(c).cast("double")).alias(f"_low_{c}") for c in objectives], *[F.max(F.col(c).cast("double")).alias(f"_high_{c}") for c in objectives])
+    placed = known.select(*scenario, *objectives).join(stage(ranges, "ranges"), scenario)  # a null scenario has no corners, and keeps its rows
+    span = lambda c: F.greatest(F.col(f"_high_{c}") - F.col(f"_low_{c}"), F.lit(1e-300))
+    share = {c: (F.col(c) - F.col(f"_low_{c}")) / span(c) for c in objectives}
+    point = F.struct(*objectives)
+    least = [F.min(F.struct(sum((share[c] * w for c, w in zip(objectives, weights, strict=True)), F.lit(0.0)).alias("s"), point.alias("p"))).alias(f"_c{i}") for i, weights in enumerate(_DIRECTIONS)]
+    corners = placed.groupBy(*scenario).agg(*least)
+    return corners.select(*scenario, F.array_distinct(F.array(*[F.col(f"_c{i}.p") for i in range(len(_DIRECTIONS))])).alias("_corners"))
+
+
+def _beyond_corners(known: DataFrame, scenario: list[str], objectives: list[str]) -> DataFrame:
+    """The rows that no corner point of their scenario dominates."""
+    corners = stage(corner_points(known, scenario, objectives), "corners")
+
+    def dominates(p: Column) -> Column:
+        no_worse = reduce(lambda a, b: a & b, [p[c] <= F.col(c) for c in objectives])
+        return no_worse & reduce(lambda a, b: a | b, [p[c] < F.col(c) for c in objectives])
+
+    renamed = corners.select(*[F.col(c).alias(f"_of_{c}") for c in scenario], "_corners")
+    same = reduce(lambda a, b: a & b, [known[c].eqNullSafe(renamed[f"_of_{c}"]) for c in scenario])
+    return known.join(renamed, same, "left").filter(~F.coalesce(F.exists("_corners", dominates), F.lit(False))).select(*known.columns)
+
+
 def pareto_front(df: DataFrame, scenario: list[str] = fv.SCENARIO, objectives: list[str] = OBJECTIVES) -> DataFrame:
     """Rows of each scenario that no other row dominates; equal points all stay.
 
-    Three exact steps, none of which pairs up a scenario's rows: every input
-    task drops what its own rows dominate; the rest is range-split by scenario
-    and objectives, so that a large scenario spans many tasks and a row can
-    only be dominated from its own or an earlier range; last, rows are tested
-    against the staircases of earlier ranges of their scenario.
+    Exact steps, none of which pairs up a scenario's rows. First, natively, a few
+    strong rows of each scenario (corner_points) drop what they dominate, which
+    is most of it. Then every input task drops what its own rows dominate; the
+    rest is range-split by scenario and objectives, so that a large scenario
+    spans many tasks and a row can only be dominated from its own or an earlier
+    range; last, rows are tested against the staircases of earlier ranges of
+    their scenario.
     """
     order = [*scenario, *objectives]
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in objectives])
     known, unknown = df.filter(complete), df.filter(~complete)  # null or NaN: neither dominates nor is dominated
+    known = _beyond_corners(known, scenario, objectives)
     sweep = _undominated_rows(scenario, objectives)
     local = known.sortWithinPartitions(*order).mapInPandas(sweep, known.schema)
     ranged = local.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(sweep, known.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runledger import fixed_values as fv
 from runledger.functions import measures
 from runledger.operators.quantiles import quantiles
+from runledger.session import stage
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -47,11 +48,30 @@ def grouped_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
-    """One row: row count, the distinct labels in order, and the range of runtime and cost."""
+#: Distinct labels that a summary lists; of a column with more it gives the number alone.
+LISTED = 10_000
+_LABELS = {"dataset_size_mb": "dataset_sizes_mb", "workload_type": "workloads", "machine_type": "machine_types", "nodes": "node_counts"}
 
-    def labels_of(column: str, name: str):
-        return F.sort_array(F.collect_set(column)).alias(name)
+
+def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, rows): the distinct labels as rows, aggregated in the map tasks."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return long.dropna(subset=["value"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def dataset_summary(df: DataFrame, listed: int = LISTED) -> DataFrame:
+    """One row: row count, the distinct labels in order and how many they are, and the range of runtime and cost.
+
+    The labels are counted as rows first. A list is only gathered from a column
+    with `listed` labels at most, and is null for one with more.
+    """
+    counts = stage(label_counts(df, [*_LABELS]), "labels")
+    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    few = counts.join(sizes.filter(F.col("distinct") <= listed), "column", "left_semi")
+    lists = few.groupBy().agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("column") == c, F.col("value").cast(df.schema[c].dataType)))).alias(n) for c, n in _LABELS.items()
+    ])
+    numbers = sizes.groupBy().agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0)).alias(f"n_{n}") for c, n in _LABELS.items()])
 
     def span(column: str, digits: int):
         return F.struct(
@@ -59,15 +79,10 @@ def dataset_summary(df: DataFrame) -> DataFrame:
             F.round(F.max(column), digits).alias("max"),
         ).alias(column)
 
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        labels_of("dataset_size_mb", "dataset_sizes_mb"),
-        labels_of("workload_type", "workloads"),
-        labels_of("machine_type", "machine_types"),
-        labels_of("nodes", "node_counts"),
-        span("runtime_minutes", 4),
-        span("cost_usd", 6),
-    )
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), span("runtime_minutes", 4), span("cost_usd", 6))
+    facts = stage(lists, "lists").select(F.struct("*")).scalar(), stage(numbers, "numbers").select(F.struct("*")).scalar()
+    labels = [F.when(facts[1][f"n_{n}"] <= listed, facts[0][n]).alias(n) for n in _LABELS.values()]
+    return whole.select("rows", *labels, *[facts[1][f"n_{n}"].alias(f"n_{n}") for n in _LABELS.values()], "runtime_minutes", "cost_usd")
 
 
 def mean_cost_by_workload(df: DataFrame) -> DataFrame:

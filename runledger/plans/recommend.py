@@ -50,21 +50,32 @@ def recommend(requests: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
     requests of a workload without candidates get no row (unknown_requests
     lists them). A null SLA admits every candidate.
     """
+    keys, placed, classes = _classes(requests, scored)
+    ranked = scoring.top_n(classes, n).drop("requests")
+    found = stage(ranked.drop("sla_runtime_minutes"), "ranked").withColumnRenamed("effective_sla", "_effective")
+    same = F.col("effective_sla").eqNullSafe(F.col("_effective"))
+    for name in (*keys, "goal"):
+        found = found.withColumnRenamed(name, f"_{name}")
+        same = same & (F.col(name) == F.col(f"_{name}"))
+    return placed.join(found, same).drop("_effective", "effective_sla", *[f"_{k}" for k in (*keys, "goal")])
+
+
+def _classes(requests: DataFrame, scored: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
+    """The scenario's keys, the requests with their effective SLA, and every candidate ranked once for each (scenario, goal, effective SLA)."""
     scored = scored.filter("predicted_runtime_minutes IS NOT NULL AND predicted_cost_usd IS NOT NULL")
     asked = requests.withColumn("goal", labels.goal("goal"))
     keys = fv.SCENARIO if "dataset_size_mb" in scored.columns else ["workload_type"]
     placed = scoring.with_effective_sla(asked, scored, keys)
     group = [*keys, "goal", "effective_sla"]
-    classes = placed.select(*group).distinct()
+    classes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("requests"))
     classes = classes.withColumn("sla_runtime_minutes", F.coalesce("effective_sla", F.lit(-1.0)))
     expanded = classes.repartition(_tasks(classes), *group).join(scored, keys)
-    ranked = scoring.top_n(scoring.rank_candidates(expanded, group), n)
-    found = stage(ranked.drop("sla_runtime_minutes"), "ranked").withColumnRenamed("effective_sla", "_effective")
-    same = F.col("effective_sla").eqNullSafe(F.col("_effective"))
-    for name in (*keys, "goal"):
-        found = found.withColumnRenamed(name, f"_{name}")
-        same = same & (F.col(name) == F.col(f"_{name}"))
-    return placed.join(found, same).drop("_effective", "effective_sla", *[f"_{k}" for k in (*keys, "goal")])
+    return keys, placed, scoring.rank_candidates(expanded, group)
+
+
+def ranked_classes(requests: DataFrame, scored: DataFrame) -> DataFrame:
+    """Every candidate with its score and rank, once for all requests that admit the same candidates for the same goal; `requests` counts these."""
+    return _classes(requests, scored)[2]
 
 
 def _tasks(df: DataFrame) -> int:
@@ -105,7 +116,7 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
     priced has instance_type, nodes, category, hourly_price_usd; predictions has
     workload_type, instance_type, nodes, predicted_runtime_minutes and
     model_predicted_cost_usd. Only the categories allowed for the workload compete.
-    Both choices are minima in one aggregation, so no candidates are ranked.
+    Requests look their prefix of the candidates up and never meet the candidates themselves.
     Candidates without a price or a predicted runtime compete for neither; a
     request that has no other is answered "no_priced_configuration", and one of
     an unknown workload "unknown_workload", both without a choice.
@@ -115,15 +126,20 @@ def cheapest_within_sla(requests: DataFrame, priced: DataFrame, predictions: Dat
         .withColumn("predicted_runtime_minutes", measures.clamped_runtime(F.col("predicted_runtime_minutes")))
     )
     cost = F.round(F.col("hourly_price_usd") * F.col("nodes") * (F.col("predicted_runtime_minutes") / 60.0), 9)
-    rows = requests.join(offered, "workload_type", "left").withColumn("predicted_cost_usd", cost)
+    offered = stage(offered.withColumn("predicted_cost_usd", cost), "offered")
     usable = F.col("predicted_cost_usd").isNotNull() & F.col("predicted_runtime_minutes").isNotNull()
-    valid = usable & (F.col("sla_runtime_minutes").isNull() | (F.col("predicted_runtime_minutes") <= F.col("sla_runtime_minutes")))
     rest = ["instance_type", "category", "model_predicted_cost_usd"]
     cheapest = F.struct("predicted_cost_usd", "predicted_runtime_minutes", "nodes", *rest)
     fastest = F.struct("predicted_runtime_minutes", "predicted_cost_usd", "nodes", *rest)
-    best = rows.groupBy("request_id", "workload_type", "sla_runtime_minutes").agg(
-        F.min(F.when(valid, cheapest)).alias("cheapest"), F.min(F.when(usable, fastest)).alias("fastest"), F.count("instance_type").alias("candidates"),
-    )
+    of_workload = offered.groupBy("workload_type").agg(F.min(F.when(usable, fastest)).alias("fastest"), F.count("instance_type").alias("candidates"))
+    # An SLA admits a prefix of a workload's candidates in order of runtime: the cheapest so far is known at every runtime.
+    so_far = Window.partitionBy("workload_type").orderBy("predicted_runtime_minutes")
+    prefixes = offered.filter(usable).select("workload_type", F.col("predicted_runtime_minutes").alias("effective_sla"), F.min(cheapest).over(so_far).alias("cheapest")).distinct()
+    asked = requests.select("request_id", "workload_type", "sla_runtime_minutes").distinct()
+    placed = scoring.with_effective_sla(asked.filter("workload_type IS NOT NULL"), offered.filter(usable), ["workload_type"])
+    nameless = asked.filter("workload_type IS NULL").withColumn("effective_sla", F.lit(None).cast("double"))
+    best = placed.unionByName(nameless).join(prefixes, ["workload_type", "effective_sla"], "left").join(of_workload, "workload_type", "left")
+    best = best.withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
     found = F.col("cheapest").isNotNull()
 
     def pick(name: str):
