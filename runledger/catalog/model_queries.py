@@ -1,7 +1,7 @@
-"""Spark ML training and evaluation, and the streaming operators.
+"""Training and evaluation of models, and the streaming operators.
 
-Every model has the library's settings (regression.SETTINGS); a forest of these
-takes minutes to fit on a few cores, and cross-validation fits forty models.
+Every model has the library's settings (regression.SETTINGS). The forests and
+boosted trees of a query's folds, targets and scenarios are grown in one job.
 """
 
 from __future__ import annotations
