@@ -17,15 +17,14 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max, one row per column.
 
     All columns share one scan: they become (column, value) rows that are
-    aggregated in the map tasks; the quartiles come from the rows around them.
+    aggregated in the map tasks, the moments together with the bounds of the
+    quartiles, which come from the rows around them.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     long = long.dropna(subset=["value"])
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return moments.join(quantiles(long, ["column"], "value", QUARTILES), "column")
+    moments = {"count": F.count("_v"), "mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v")}
+    found = quantiles(long, ["column"], "value", QUARTILES, moments)
+    return found.select("column", "count", "mean", "std", "min", "max", *QUARTILES)
 
 
 def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:

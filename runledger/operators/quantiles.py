@@ -16,18 +16,21 @@ _ACCURACY = 10_000
 _MARGIN = 10 / _ACCURACY  # ten times the error the sketch admits
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], beside: dict[str, Column] | None = None) -> DataFrame:
     """Exact quantiles per key (null keys are a key): only rows near the wanted ranks are shuffled.
 
     A mergeable sketch gives bounds around each quantile; one more scan counts
     the rows below each bound and passes on the rows inside, about 0.2 % per
     quantile. The counts prove whether the wanted ranks lie inside; if any does
-    not, all rows are sorted instead.
+    not, all rows are sorted instead. beside: aggregates of the column `_v` (the
+    values as doubles) that are taken in the scan of the sketch.
     """
     names = list(probabilities)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
     levels = [min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-_MARGIN, _MARGIN)]
-    sketch = stage(rows.groupBy(*keys).agg(F.percentile_approx("_v", levels, _ACCURACY).alias("_bounds")), "bounds")
+    aggregates = [c.alias(n) for n, c in (beside or {}).items()]
+    first = stage(rows.groupBy(*keys).agg(F.percentile_approx("_v", levels, _ACCURACY).alias("_bounds"), *aggregates), "bounds")
+    sketch = first.select(*keys, "_bounds")
     bounded = _null_safe(rows, sketch, keys) if keys else rows.withColumn("_bounds", sketch.select("_bounds").scalar())
 
     def low(i: int) -> Column:
@@ -49,7 +52,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
         (F.floor(h[i]) < F.col(f"_below{i}")) | (F.ceil(h[i]) >= F.col(f"_below{i}") + F.col(f"_inside{i}")) for i in h
     ]
     if not counts.filter(reduce(lambda a, b: a | b, missed)).isEmpty():
-        return exact_quantiles(df, keys, value, probabilities)
+        return _beside(exact_quantiles(df, keys, value, probabilities), first, keys, beside)
 
     inside = bounded.withColumn("_i", F.explode(F.filter(
         F.array(*[F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), F.lit(i)) for i in range(len(names))]),
@@ -59,7 +62,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
         F.struct(F.lit(i).alias("_i"), (h[i] - F.col(f"_below{i}")).alias("_h")) for i in h
     ])).alias("_w")).select(*keys, "_w._i", "_w._h")
     found = _values_at(inside.select(*keys, "_i", "_v"), [*keys, "_i"], wanted)
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    return _beside(found, first, keys, beside)
+
+
+def _beside(found: DataFrame, first: DataFrame, keys: list[str], beside: dict[str, Column] | None) -> DataFrame:
+    return _null_safe(found, first.select(*keys, *beside), keys) if beside and keys else found
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
