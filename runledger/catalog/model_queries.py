@@ -14,7 +14,7 @@ from runledger import fixed_values as fv
 from runledger.catalog.planning_queries import _FOLD, _PER_FOLD, per_fold
 from runledger.catalog.registry import query
 from runledger.catalog.relational_queries import rounded
-from runledger.operators import enrich, evaluation, regression, scoring, statistics
+from runledger.operators import enrich, evaluation, leave_out, regression, scoring, statistics
 from runledger.plans import recommend, reports
 from runledger.session import new_path, stage
 from runledger.sources import readers, sinks
@@ -209,6 +209,25 @@ def _(t):
     return _model_quality(t, "gradient_boosting", "boosting")
 
 
+_CELL_MEANS = "(SELECT cloud, region, electricity_zone, dataset_size_mb, workload_type, machine_type, nodes, COUNT(*) AS n, AVG(runtime_minutes) AS rt, AVG(cost_usd) AS cost FROM {dataset} GROUP BY 1, 2, 3, 4, 5, 6, 7)"
+
+
+@query("j9_left_out_equations", f"""
+    SELECT workload_type, dataset_size_mb, target, runs, round(value / runs, 6) AS mean_target, round(value / runs, 6) AS mean_predicted FROM (
+      SELECT s.workload_type, s.dataset_size_mb, CAST(t.n - s.n AS DOUBLE) AS runs, unnest(['runtime_minutes', 'cost_usd']) AS target, unnest([t.rt - s.rt, t.cost - s.cost]) AS value
+      FROM (SELECT workload_type, dataset_size_mb, SUM(n) AS n, SUM(n * rt) AS rt, SUM(n * cost) AS cost FROM {_CELL_MEANS} GROUP BY 1, 2) s,
+        (SELECT SUM(n) AS n, SUM(n * rt) AS rt, SUM(n * cost) AS cost FROM {_CELL_MEANS}) t)
+""")
+def _(t):
+    """The first normal equation of every scenario's linear models: they predict the mean of the runs that they were fitted to."""
+    cells = _cells(t)
+    solved = leave_out.linear_coefficients(cells, regression.fit(cells, "linear_regression"), fv.SCENARIO)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("target"), F.round(f"mean_{c}", 6).alias("mean_target"), F.round(f"mean_predicted_{c}", 6).alias("mean_predicted")) for c in fv.TARGETS
+    ]))
+    return solved.select(*fv.SCENARIO, F.round("runs", 6).alias("runs"), each.alias("_e")).select(*fv.SCENARIO, "runs", "_e.*")
+
+
 @query("j10_single_model")
 def _(t):
     return regression.train(t("dataset"), "decision_tree", new_path(t.spark, "model"))[1]

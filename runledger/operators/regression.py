@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from runledger import fixed_values as fv
 from runledger.functions import measures
 from runledger.functions.labels import group_key
-from runledger.operators import cleaning, ensembles, statistics
+from runledger.operators import cleaning, ensembles, leave_out, statistics
 from runledger.operators.quantiles import exact_quantiles
 from runledger.session import stage
 
@@ -41,6 +41,7 @@ _ESTIMATORS = {
     "linear_regression": LinearRegression, "decision_tree": DecisionTreeRegressor,
     "random_forest": RandomForestRegressor, "gradient_boosting": GBTRegressor,
 }
+LINEAR = ("linear", "linear_regression")
 Models = dict[str, PipelineModel]
 
 
@@ -126,7 +127,11 @@ def pipelines(cells: DataFrame, model_type: str, **overrides) -> Models:
 
 def predict(models: Models, features: DataFrame) -> DataFrame:
     """features with clamped predictions of runtime and cost."""
-    return unclamped(models, features).withColumns({
+    return clamped(unclamped(models, features))
+
+
+def clamped(predicted: DataFrame) -> DataFrame:
+    return predicted.withColumns({
         "predicted_runtime_minutes": measures.clamped_runtime(F.col("predicted_runtime_minutes")),
         "predicted_cost_usd": measures.clamped_cost(F.col("predicted_cost_usd")),
     })
@@ -224,8 +229,8 @@ def cross_validate(dataset: DataFrame, model_types: list[str] | None = None, fol
 
     A fold holds whole groups, so a cell (distinct feature vector) lies in one
     fold: the cells are built once, each fit takes those of the other folds and
-    scores its own. The runs are only read to be measured, against all folds'
-    and models' scores in one join.
+    scores its own; the linear folds come from sums (leave_out.py). The runs are
+    only read to be measured, against all folds' and models' scores in one join.
     """
     rows = model_rows(dataset)
     effective = statistics.fold_count(rows, folds).first()["folds"]
@@ -239,8 +244,14 @@ def cross_validate(dataset: DataFrame, model_types: list[str] | None = None, fol
         models = fit(cells.filter(F.col("fold") != fold), model_type, **overrides.get(model_type, {}))
         return unclamped(models, cells.filter(F.col("fold") == fold).select("fold", *fv.FEATURES)).withColumn("model", F.lit(model_type))
 
-    items = [(fold, m) for fold in range(1, effective + 1) for m in model_types or list(LABELS)]
-    scored = stage(_union(_in_parallel(dataset.sparkSession, scores, items, parallelism)), "fold-scores")
+    wanted, summed = list(model_types or LABELS), []
+    for model_type in [m for m in wanted if m in LINEAR]:
+        whole = fit(cells, model_type, **overrides.get(model_type, {}))
+        if leave_out.solvable(whole):
+            wanted.remove(model_type)
+            summed.append(leave_out.linear_predictions(cells, whole, ["fold"]).withColumn("model", F.lit(model_type)))
+    items = [(fold, m) for fold in range(1, effective + 1) for m in wanted]
+    scored = stage(_union([*summed, *_in_parallel(dataset.sparkSession, scores, items, parallelism)]), "fold-scores")
     measured = marked.join(scored, ["fold", *fv.FEATURES])
     return statistics.regression_metrics(long_predictions(measured, "fold", "model"), ["model", "fold", "target"])
 
@@ -295,11 +306,16 @@ def load(path: str) -> Models:
 def left_out_predictions(dataset: DataFrame, model_type: str, name: str | None = None, parallelism: int = 4, **overrides) -> DataFrame:
     """Predictions for every configuration of each scenario from a model fitted without that scenario.
 
-    One pair of fits per scenario. The scenarios are the few labels and sizes
-    that were measured, read from the collapsed cells.
+    Linear models of all scenarios are solved from sums in a fixed number of
+    jobs. The others take one pair of fits per scenario: the few labels and
+    sizes that were measured, read from the collapsed cells.
     """
     name = name or model_type
     cells = training_cells(model_rows(dataset))
+    if model_type in LINEAR:
+        whole = fit(cells, model_type, **overrides)
+        if leave_out.solvable(whole):
+            return _first_zones(clamped(leave_out.linear_predictions(cells, whole, fv.SCENARIO)), name)
     scenarios = [tuple(row) for row in cells.select(*fv.SCENARIO).distinct().toLocalIterator()]
 
     def scenario_predictions(scenario: tuple) -> DataFrame:
@@ -307,8 +323,12 @@ def left_out_predictions(dataset: DataFrame, model_type: str, name: str | None =
         models = fit(cells.filter(~inside), model_type, **overrides)
         return predict(models, cells.filter(inside).select(*fv.FEATURES))
 
-    blocks = stage(_union(_in_parallel(dataset.sparkSession, scenario_predictions, scenarios, parallelism)), "left-out")
-    return blocks.groupBy(*fv.SCENARIO, *fv.CONFIG).agg(
+    return _first_zones(stage(_union(_in_parallel(dataset.sparkSession, scenario_predictions, scenarios, parallelism)), "left-out"), name)
+
+
+def _first_zones(predicted: DataFrame, name: str) -> DataFrame:
+    """One prediction for each configuration of a scenario: its first zone's."""
+    return predicted.groupBy(*fv.SCENARIO, *fv.CONFIG).agg(
         F.min(F.struct("electricity_zone", "predicted_runtime_minutes", "predicted_cost_usd")).alias("_p")
     ).select(
         *fv.SCENARIO, *fv.CONFIG,
