@@ -19,7 +19,6 @@ result.
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ KINDS = {"string": "^STRING", "integer": "^BIGINT|^DECIMAL\\([0-9]+,0\\)", "numb
 
 #: Identifiers with more further calls and results than this are joined apart from the others.
 HOT_ROWS = 10_000
+#: Calls of a block, a power of two: their depths are found in one expression.
+BLOCK = 1024
 
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
@@ -65,52 +66,74 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(call, depth): the length of the longest chain of dependencies below each call; null on cycles or behind them.
+def placed(calls: DataFrame) -> DataFrame:
+    """(row, place): numbers that ascend by conversation and position. A range sort gives them, so a conversation may span many tasks."""
+    ordered = calls.select("row", "conversation", "position")
+    ordered = ordered.repartitionByRange("conversation", "position", "row").sortWithinPartitions("conversation", "position", "row")
+    return stage(ordered.select("row", F.monotonically_increasing_id().alias("place")), "places")
+
+
+def _sweep(calls: Column, down: bool) -> Column:
+    """Depths of a block's calls, in their order (last to first if `down`); null while one is unknown.
 
-    calls: call. edges: call, dep; both ends known, no repeats. Chains of calls
-    with a single dependency are contracted by pointer doubling, in as many
-    rounds as their length has binary digits; what has several dependencies is
-    peeled level by level.
+    calls: array of (place, depth, base, open, within), ascending by place and
+    without gaps. A call's depth is known, or follows from `base` (what its
+    dependencies in other blocks ask for) and those at `within`, if none is open.
     """
-    edges = stage(edges, "edges")
-    width = edges.groupBy("call").agg(F.count(F.lit(1)).alias("deps"))
-    single = stage(edges.join(width.filter("deps = 1"), "call").select("call", F.col("dep").alias("to"), F.lit(1).cast("long").alias("steps")), "chains")
-    several = stage(edges.join(width.filter("deps > 1"), "call").select("call", "dep"), "several")
-    roots = calls.select("call").join(edges.select("call").distinct(), "call", "left_anti")
-
-    links = single.count()
-    chains = single
-    for _ in range(ceil(log2(links + 1)) + 1 if links else 0):
-        ahead = chains.select(F.col("call").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"))
-        chains = stage(
-            chains.join(ahead, "to", "left").select("call", F.coalesce("beyond", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("beyond").isNotNull().alias("moved")),
-            "chains",
-        )
-        if chains.filter("moved").isEmpty():
-            break
-        chains = chains.select("call", "to", "steps")
-    # What still moves runs in a circle.
-    chains = chains.select("call", "to", "steps")
-    ends = chains.join(single.select(F.col("call").alias("to")), "to", "left_anti")
-
-    known = stage(roots.withColumn("depth", F.lit(0).cast("long")), "depths")
-    contracted = several.join(ends.select(F.col("call").alias("dep"), "to", "steps"), "dep", "left").select(
-        "call", F.coalesce("to", "dep").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")
+    met = lambda done, at: F.get(done, F.size(calls) - 1 - at if down else at)
+
+    def add(done: Column, call: Column) -> Column:
+        below = F.transform(call.within, lambda at: met(done, at))
+        ready = ~call.open & ~F.exists(below, lambda d: d.isNull())
+        found = F.when(ready, F.greatest(call.base, F.coalesce(F.array_max(below) + 1, F.lit(0).cast("long"))))
+        return F.concat(done, F.array(F.coalesce(call.depth, found)))
+
+    swept = F.aggregate(F.reverse(calls) if down else calls, F.array().cast("array<bigint>"), add)
+    return F.reverse(swept) if down else swept
+
+
+def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(place, depth): the length of the longest chain of dependencies below each call; null on cycles or behind them.
+
+    calls: place. edges: place, dep (a place); both ends known, no repeats.
+    Calls are swept in blocks of BLOCK neighbouring places, each an array of that
+    many calls at most whatever conversations they belong to. A sweep follows every
+    chain that runs one way inside a block to its end; a round sweeps the blocks
+    that still wait upwards, then downwards. So dependencies that point one way
+    take as many rounds as the longest chain has blocks, and a chain may take one
+    more wherever it turns. A round without a new depth ends it: what is left is
+    on cycles or behind them.
+    """
+    bits = BLOCK.bit_length() - 1
+    block = lambda c: F.shiftright(c, bits)
+    same = block(F.col("place")) == block(F.col("dep"))
+    inside = edges.filter(same).groupBy("place").agg(F.collect_list(F.col("dep").bitwiseAND(F.lit(BLOCK - 1)).cast("int")).alias("within"))
+    state = stage(
+        calls.select("place").join(inside, "place", "left").select("place", F.coalesce("within", F.array().cast("array<int>")).alias("within"), F.lit(None).cast("long").alias("depth")), "calls"
     )
-    waiting = stage(contracted, "waiting")
-    while not waiting.isEmpty():
-        reached = waiting.join(known.select(F.col("call").alias("to"), "depth"), "to", "left")
-        solved = stage(
-            reached.groupBy("call").agg(F.count(F.lit(1)).alias("all"), F.count("depth").alias("met"), F.max(F.col("depth") + F.col("steps")).alias("depth")).filter("all = met").select("call", "depth"), "solved"
+    across = stage(edges.filter(~same), "edges-across")
+    done, moved = [], True
+    while moved and not state.isEmpty():
+        facts = across.join(state.select(F.col("place").alias("dep"), "depth"), "dep", "left")
+        for known in done:
+            facts = facts.join(known.select(F.col("place").alias("dep"), F.col("depth").alias("settled")), "dep", "left").withColumn("depth", F.coalesce("depth", "settled")).drop("settled")
+        facts = facts.groupBy("place").agg((F.max("depth") + 1).alias("base"), (F.count("depth") < F.count(F.lit(1))).alias("open"))
+        told = state.join(facts, "place", "left").select(
+            block(F.col("place")).alias("block"),
+            F.struct("place", "depth", F.coalesce("base", F.lit(0).cast("long")).alias("base"), F.coalesce("open", F.lit(False)).alias("open"), "within").alias("call"),
         )
-        if solved.isEmpty():
-            break
-        known = stage(known.unionByName(solved), "depths")
-        waiting = stage(waiting.join(solved.select("call"), "call", "left_anti"), "waiting")
-    chained = ends.join(known.select(F.col("call").alias("to"), "depth"), "to").select("call", (F.col("depth") + F.col("steps")).alias("depth"))
-    solved = known.unionByName(chained)
-    return calls.select("call").join(solved, "call", "left")
+        swept = told.groupBy("block").agg(F.sort_array(F.collect_list("call")).alias("calls")).withColumn("up", _sweep(F.col("calls"), False))
+        again = F.zip_with("calls", "up", lambda c, d: c.withField("depth", d))
+        swept = swept.withColumn("found", F.when(F.exists("up", lambda d: d.isNull()), _sweep(again, True)).otherwise(F.col("up")))
+        entry = F.explode(F.zip_with("calls", "found", lambda c, d: F.struct(c.place.alias("place"), c.within.alias("within"), d.alias("depth"), c.depth.isNull().alias("waited"))))
+        complete = ~F.exists("found", lambda d: d.isNull())
+        after = stage(swept.select(complete.alias("complete"), entry.alias("_e")).select("complete", "_e.*"), "swept")
+        moved = not after.filter("waited AND depth IS NOT NULL").isEmpty()
+        settled = after.filter("complete").select("place", "depth")
+        done = [stage(done[0].unionByName(settled), "depths")] if done else [stage(settled, "depths")]
+        state = after.filter("NOT complete").select("place", "within", "depth")
+    rest = state.select("place", "depth")
+    return rest.unionByName(done[0]) if done else rest
 
 
 def _looked_up(rows: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -143,9 +166,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     )
     # Calls are told apart by row; what is called before them, by the first call of its identifier.
     wanted = known.select("row", "conversation", F.explode(F.array_distinct("after")).alias("dep")).filter("dep IS NOT NULL")
-    targets = named.select(F.col("conversation").alias("of_conversation"), F.col("call").alias("of_call"), F.col("row").alias("to"))
-    edges = wanted.join(targets, F.col("conversation").eqNullSafe(F.col("of_conversation")) & (F.col("dep") == F.col("of_call"))).select(F.col("row").alias("call"), F.col("to").alias("dep"))
-    depth = depths(known.select(F.col("row").alias("call")), edges).withColumnRenamed("call", "of_row")
+    places = placed(known)
+    targets = named.join(places, "row").select(F.col("conversation").alias("of_conversation"), F.col("call").alias("of_call"), F.col("place").alias("to"))
+    meet = F.col("conversation").eqNullSafe(F.col("of_conversation")) & (F.col("dep") == F.col("of_call"))
+    edges = wanted.join(targets, meet).select("row", F.col("to").alias("dep")).join(places, "row").select("place", "dep")
+    depth = places.join(depths(places, edges), "place").select(F.col("row").alias("of_row"), "depth")
     met = stage(named.join(answers, F.col("conversation").eqNullSafe(F.col("of_conversation")) & (F.col("call") == F.col("of_call")), "full"), "linked")
     is_call = F.col("repeats").isNotNull()
     linked = met.join(depth, F.col("row") == F.col("of_row"), "left").select(
