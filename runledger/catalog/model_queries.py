@@ -15,7 +15,7 @@ from runledger.catalog.planning_queries import _FOLD, _PER_FOLD, per_fold
 from runledger.catalog.registry import query
 from runledger.catalog.relational_queries import rounded
 from runledger.operators import enrich, evaluation, leave_out, regression, scoring, statistics
-from runledger.plans import recommend, reports
+from runledger.plans import recommend, reports, training
 from runledger.session import new_path, stage
 from runledger.sources import readers, sinks
 from runledger.streaming import ingest
@@ -105,6 +105,17 @@ def _(t):
     return rounded(regression.best_model(per_fold(t)))
 
 
+@query("j5_chosen_and_saved", f"SELECT workload_type, COUNT(*) AS cells, COUNT(*) AS scored, CAST(1 AS BIGINT) AS models FROM ({_CELLS}) GROUP BY 1")
+def _(t):
+    """The better of the linear model and the tree, by cross-validation; read back, it scores every cell."""
+    path = new_path(t.spark, "chosen")
+    _, _, report = training.choose_model(t("dataset"), path, ["linear_regression", "decision_tree"])
+    scored = regression.predict(regression.load(path), _cells(t).select(*fv.FEATURES))
+    predicted = F.col("predicted_runtime_minutes").isNotNull() & F.col("predicted_cost_usd").isNotNull()
+    counted = scored.groupBy("workload_type").agg(F.count(F.lit(1)).alias("cells"), F.count_if(predicted).alias("scored"))
+    return counted.withColumn("models", report["choice"].groupBy().agg(F.countDistinct("model").alias("models")).scalar())
+
+
 def _compared(t):
     return t.shared("compared", lambda: regression.compare_models(t("dataset"))["predictions"])
 

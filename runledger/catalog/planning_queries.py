@@ -65,6 +65,28 @@ def _(t):
     return rounded(best.select("request_id", "rank", *fv.CONFIG, "optimization_score", "predicted_runtime_minutes", "predicted_emissions_gco2eq", "no_sla_match"))
 
 
+_UNPREDICTED = "(workload_type = 'memory-heavy' OR (workload_type = 'cpu-heavy' AND nodes = 4))"
+
+
+@query("k6_answered_requests", f"""
+    WITH o AS (SELECT workload_type, COUNT(*) AS candidates, COUNT(*) FILTER (WHERE {_UNPREDICTED}) AS unpredicted FROM {{scored}} GROUP BY 1),
+      s AS (SELECT workload_type, predicted_runtime_minutes AS rt FROM {{scored}} WHERE NOT {_UNPREDICTED}),
+      m AS (SELECT q.request_id, COUNT(*) FILTER (WHERE q.sla_runtime_minutes IS NULL OR s.rt <= q.sla_runtime_minutes) AS met FROM {{requests}} q JOIN s ON q.workload_type = s.workload_type GROUP BY 1)
+    SELECT workload_type, status, COUNT(*) AS requests, CAST(SUM(ranked) AS BIGINT) AS ranked, MAX(unpredicted) AS unpredicted FROM (
+      SELECT q.workload_type, coalesce(o.unpredicted, 0) AS unpredicted,
+        CASE WHEN o.candidates IS NULL THEN 'unknown_workload' WHEN o.candidates = o.unpredicted THEN 'no_predicted_configuration' WHEN m.met = 0 THEN 'no_valid_configuration' ELSE 'ok' END AS status,
+        CASE WHEN o.candidates IS NULL OR o.candidates = o.unpredicted THEN 0 WHEN m.met = 0 THEN least(5, o.candidates - o.unpredicted) ELSE least(5, m.met) END AS ranked
+      FROM {{requests}} q LEFT JOIN o ON q.workload_type = o.workload_type LEFT JOIN m ON q.request_id = m.request_id) GROUP BY 1, 2
+""")
+def _(t):
+    """Every request is answered; one workload has no predicted candidate, another only some."""
+    missing = F.expr(_UNPREDICTED)
+    scored = _scored(t).withColumn("predicted_cost_usd", F.when(~missing, F.col("predicted_cost_usd")))
+    return recommend.answers(t("requests"), scored, 5).groupBy("workload_type", "status").agg(
+        F.countDistinct("request_id").alias("requests"), F.count("rank").alias("ranked"), F.max("unpredicted").alias("unpredicted")
+    )
+
+
 @query("g3_goal_scores", f"SELECT goal, COUNT(*) AS candidates, round(AVG(score), 6) AS mean_score, round(MAX(score), 6) AS greatest FROM {_ALL} GROUP BY 1")
 def _(t):
     """Requests that admit the same candidates for the same goal share their scores."""

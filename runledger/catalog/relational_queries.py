@@ -207,17 +207,45 @@ _THREE_CLOUDS = """
 """
 
 
-@query("i1_union_of_clouds", f"SELECT cloud, region, run_date, COUNT(*) AS runs, round(SUM(runtime_minutes), 3) AS minutes FROM ({_THREE_CLOUDS}) GROUP BY 1, 2, 3")
-def _(t):
-    failed = t("vm_results").filter("Exit_Status = 'FAILED'").select(
+def _failed_as_databricks(t):
+    return t("vm_results").filter("Exit_Status = 'FAILED'").select(
         F.lit("azure").alias("cloud_provider"), F.col("Region").alias("region"), F.col("Dataset_Size_MB").cast("double").alias("dataset_size_mb"),
         F.col("Workload").alias("workload_type"), F.col("VM_Size").alias("instance_type"), F.col("Nodes").alias("nodes"),
         F.col("Runtime_Minutes").alias("runtime_minutes"), F.col("Cost_USD").alias("cost_usd"),
     )
-    union = model_dataset.all_runs(model_dataset.aws_runs(t("raw_runs")), model_dataset.azure_runs(t("vm_results")), model_dataset.databricks_runs(failed))
+
+
+@query("i1_union_of_clouds", f"SELECT cloud, region, run_date, COUNT(*) AS runs, round(SUM(runtime_minutes), 3) AS minutes FROM ({_THREE_CLOUDS}) GROUP BY 1, 2, 3")
+def _(t):
+    union = model_dataset.all_runs(model_dataset.aws_runs(t("raw_runs")), model_dataset.azure_runs(t("vm_results")), model_dataset.databricks_runs(_failed_as_databricks(t)))
     return union.groupBy("cloud", "region", "run_date").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("runtime_minutes"), 3).alias("minutes"))
 
 
+#: Regions of the readings as the raw run tables name them; Asia's AWS readings have a zone that is too coarse.
+_RAW_REGION = "CASE WHEN {cloud} = 'AWS' AND {region} = 'ASIA' THEN 'ap-south-1' WHEN {region} = 'ASIA' THEN 'Central India' WHEN {cloud} = 'Azure' AND {region} = 'EUROPE' THEN 'Southeast Asia' ELSE {region} END"
+_RAW_ZONE = "CASE WHEN {cloud} = 'AWS' AND {region} = 'ASIA' THEN 'IN' ELSE {zone} END"
+
+
+@query("k5_from_raw_tables", f"""
+    WITH f AS (SELECT lower(cloud) AS cloud_key, lower({_RAW_REGION.format(cloud='cloud', region='region')}) AS region_key, {_RAW_ZONE.format(cloud='cloud', region='region', zone='electricity_zone')} AS electricity_zone,
+        AVG(carbon_intensity) AS c, COUNT(DISTINCT reading_date) AS days FROM {{readings}} WHERE renewable_percentage < 99.0 GROUP BY 1, 2, 3),
+      d AS (SELECT r.cloud, r.region, f.electricity_zone, f.days, r.runtime_minutes / 60.0 * f.c AS emissions FROM ({_THREE_CLOUDS}) r LEFT JOIN f ON lower(r.cloud) = f.cloud_key AND lower(r.region) = f.region_key)
+    SELECT cloud, region, electricity_zone, COUNT(*) AS runs, CAST(SUM(days) AS BIGINT) AS days, round(SUM(emissions), 2) AS emissions, CASE WHEN electricity_zone = 'IN' THEN COUNT(*) END AS coarse FROM d GROUP BY 1, 2, 3
+""")
+def _(t):
+    """All clouds' raw tables and raw readings through one call, audit included."""
+    names = {"cloud": "Cloud", "region": "Region", "zone": "Electricity_Zone"}
+    raw = {
+        table: t(table).withColumns({"Region": F.expr(_RAW_REGION.format(**names)), "Electricity_Zone": F.expr(_RAW_ZONE.format(**names))})
+        for table in ("carbon_daily", "renewable_daily")
+    }
+    built = model_dataset.build_dataset(t("raw_runs"), t("vm_results"), raw["carbon_daily"], raw["renewable_daily"], _failed_as_databricks(t))
+    runs = built["dataset"].groupBy("cloud", "region", "electricity_zone").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("carbon_days_available").alias("days"), F.round(F.sum("estimated_emissions_gco2eq"), 2).alias("emissions")
+    )
+    return runs.join(built["coarse_zones"].select("electricity_zone", F.col("affected_rows").alias("coarse")), "electricity_zone", "left")
+
+
 @query("k13_zone_keyed_dataset", """
     SELECT r.cloud, r.region, r.zone AS electricity_zone, COUNT(*) AS runs, round(MAX(m.c), 6) AS carbon_intensity_mean, round(MAX(m.p), 6) AS renewable_percentage_mean
     FROM (SELECT lower(cloud) AS cloud, replace(lower(region), ' ', '') AS region, CASE WHEN machine_type <> 'PROMO' THEN upper(substr(region, 1, 2)) ELSE 'NOWHERE' END AS zone FROM {runs}) r

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import labels, measures
 from runledger.operators import cleaning, enrich
+from runledger.session import stage
 
 RUN_COLUMNS = {
     "cloud": "string", "region": "string", "run_date": "date", "dataset_size_mb": "double", "workload_type": "string",
@@ -78,6 +79,20 @@ def merged_dataset(runs: DataFrame, daily: DataFrame, basis: str = "regional_mea
     )
 
 
+def build_dataset(aws: DataFrame, vm_results: DataFrame, carbon: DataFrame, renewable: DataFrame, databricks: DataFrame | None = None, basis: str = "regional_mean") -> dict[str, DataFrame]:
+    """From the raw tables of each cloud and the raw daily readings to the model dataset and its audits.
+
+    dataset: the runs of all clouds with carbon features and emissions.
+    coarse_zones: its rows in zones that are too coarse, with the zone to use.
+    many_zones: regions whose readings come from several zones, so that each of
+    their undated runs is in the dataset once a zone.
+    """
+    daily = stage(enrich.daily_readings(carbon, renewable), "daily")
+    tables = [aws_runs(aws), azure_runs(vm_results), *([databricks_runs(databricks)] if databricks is not None else [])]
+    dataset = stage(merged_dataset(all_runs(*tables), daily, basis), "model-dataset")
+    return {"dataset": dataset, "coarse_zones": cleaning.coarse_zone_audit(dataset), "many_zones": enrich.many_zone_regions(enrich.regional_features(daily))}
+
+
 def zone_keyed_dataset(runs: DataFrame, carbon: DataFrame, renewable: DataFrame) -> DataFrame:
     """The older merge: regional means joined on normalised cloud, region and zone."""
     keys = ["cloud", "region", "electricity_zone"]

@@ -60,6 +60,25 @@ def recommend(requests: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
     return placed.join(found, same).drop("_effective", "effective_sla", *[f"_{k}" for k in (*keys, "goal")])
 
 
+def answers(requests: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
+    """Every request with its n best candidates, or with the reason why it has none.
+
+    The rows of `recommend` with a status ("ok", or "no_valid_configuration" if
+    none meets the SLA and all compete) and, for requests that can't be ranked,
+    one row without a candidate: "unknown_workload" (also a null one) or
+    "no_predicted_configuration". candidates and unpredicted count what the
+    request's workload has and what of it couldn't compete.
+    """
+    keys = fv.SCENARIO if "dataset_size_mb" in scored.columns else ["workload_type"]
+    missing = F.col("predicted_runtime_minutes").isNull() | F.col("predicted_cost_usd").isNull()
+    offered = stage(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(missing).alias("unpredicted")), "offered")
+    ranked = recommend(requests, scored, n).withColumn("status", F.when(F.col("no_sla_match"), "no_valid_configuration").otherwise("ok")).join(offered, keys)
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("candidates", "unpredicted")}
+    rest = requests.withColumn("goal", labels.goal("goal")).join(offered, keys, "left").withColumns(counts).filter("candidates = unpredicted")
+    rest = rest.withColumn("status", F.when(F.col("candidates") == 0, "unknown_workload").otherwise("no_predicted_configuration"))
+    return ranked.unionByName(rest, allowMissingColumns=True)
+
+
 def _classes(requests: DataFrame, scored: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
     """The scenario's keys, the requests with their effective SLA, and every candidate ranked once for each (scenario, goal, effective SLA)."""
     scored = scored.filter("predicted_runtime_minutes IS NOT NULL AND predicted_cost_usd IS NOT NULL")
