@@ -333,7 +333,7 @@ def _audited(t, success_wins=False):
         SELECT Region AS region, VM_Size AS vm_size, Nodes AS nodes, Dataset_Size_MB AS dataset_size_mb, Workload AS workload,
           Run_Number AS run_number, Timestamp AS timestamp, Exit_Status AS exit_status FROM {vm_results}
     """)
-    return gaps.audited_runs(gaps.expected_runs(campaign(t)), results, t.sql(COMBO_STATUS), success_wins)
+    return gaps.word_runs(gaps.audited_words(campaign(t), results, t.sql(COMBO_STATUS), success_wins))
 
 
 COMBO_STATUS = """

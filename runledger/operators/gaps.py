@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
 from runledger.functions import labels
 
 COMBO = ["region", "vm_size", "nodes"]
-RUN_KEY = [*COMBO, "dataset_size_mb", "workload", "run_number"]
+CELL = [*COMBO, "dataset_size_mb", "workload"]
+RUN_KEY = [*CELL, "run_number"]
+#: Runs of a word: a long with a bit for each run number.
+WORD = 64
 
 
 def expected_runs(campaigns: DataFrame) -> DataFrame:
@@ -20,8 +23,9 @@ def expected_runs(campaigns: DataFrame) -> DataFrame:
     exploded one by one; the combinations are spread over the tasks before the
     inner lists multiply them.
     """
+    # A sequence from 1 to 0 would count down.
     combos = (
-        campaigns.withColumn("region", F.explode("regions"))
+        campaigns.filter("repetitions >= 1").withColumn("region", F.explode("regions"))
         .withColumn("vm_size", F.explode("vm_sizes"))
         .withColumn("nodes", F.explode("node_counts"))
         .repartition(*COMBO)
@@ -49,34 +53,98 @@ def audited_runs(expected: DataFrame, results: DataFrame, combo_status: DataFram
     The reason is the note of a skipped or failed combination, else a failed
     run, else a missing one. Runs of skipped combinations are not retried.
     """
-    noted = (
+    return _verdict(expected.join(last_status(results, success_wins), RUN_KEY, "left").join(_noted(combo_status), COMBO, "left"))
+
+
+def _noted(combo_status: DataFrame) -> DataFrame:
+    return (
         combo_status.filter(F.col("status").isin("SKIPPED", "FAILED"))
         .groupBy(*COMBO)
         .agg(F.max(F.concat("status", F.lit(": "), F.coalesce("note", F.lit("")))).alias("_note"))
     )
+
+
+def _skipped() -> Column:
+    return F.coalesce(F.startswith("_note", F.lit("SKIPPED")), F.lit(False))
+
+
+def _verdict(runs: DataFrame) -> DataFrame:
     passed = F.coalesce(F.col("status") == "SUCCESS", F.lit(False))
     reason = F.coalesce(
         F.col("_note"),
         F.when(F.col("status") == "FAILED", F.lit("run FAILED")),
         F.lit("never ran / missing"),
     )
-    skipped = F.coalesce(F.startswith("_note", F.lit("SKIPPED")), F.lit(False))
+    return runs.select(
+        *RUN_KEY,
+        passed.alias("passed"),
+        F.when(~passed, reason).alias("reason"),
+        (~passed & ~_skipped()).alias("retry"),
+    )
+
+
+def expected_words(campaigns: DataFrame) -> DataFrame:
+    """The planned runs as words: CELL, word and wanted, whose bit b is run number 64 x word + b + 1.
+
+    Runs that several campaigns plan are planned once. A cell has a row for
+    every 64 runs, so a long campaign is no long group.
+    """
+    cells = (
+        campaigns.withColumn("region", F.explode("regions"))
+        .withColumn("vm_size", F.explode("vm_sizes"))
+        .withColumn("nodes", F.explode("node_counts"))
+        .withColumn("dataset_size_mb", F.explode("dataset_sizes"))
+        .withColumn("workload", F.explode("workloads"))
+        .groupBy(*CELL).agg(F.max(F.col("repetitions").cast("int")).alias("_runs"))
+    )
+    words = cells.filter("_runs > 0").withColumn("word", F.explode(F.sequence(F.lit(0), F.expr(f"(_runs - 1) div {WORD}").cast("int"))))
+    runs = F.col("_runs") - WORD * F.col("word")
+    return words.select(*CELL, "word", F.when(runs >= WORD, F.lit(-1).cast("long")).otherwise(F.expr(f"shiftleft(1L, cast(_runs - {WORD} * word as int)) - 1")).alias("wanted"))
+
+
+def seen_words(results: DataFrame, success_wins: bool = False) -> DataFrame:
+    """Runs by their last status as words: CELL, word, passed and failed."""
+    bit = F.expr(f"shiftleft(1L, cast((run_number - 1) % {WORD} as int))")
+    word = F.expr(f"(run_number - 1) div {WORD}").cast("int").alias("word")
+    runs = last_status(results.filter("run_number >= 1"), success_wins)
+    return runs.groupBy(*CELL, word).agg(*[F.bit_or(F.when(F.col("status") == s, bit)).alias(n) for s, n in (("SUCCESS", "passed"), ("FAILED", "failed"))])
+
+
+def audited_words(campaigns: DataFrame, results: DataFrame, combo_status: DataFrame, success_wins: bool = False) -> DataFrame:
+    """CELL, word, wanted, passed, failed and the note of a skipped or failed combination.
+
+    Planned and seen runs meet as words, a row for 64 runs; runs become rows
+    only where they are put out (word_runs).
+    """
+    nothing = F.lit(0).cast("long")
     return (
-        expected.join(last_status(results, success_wins), RUN_KEY, "left")
-        .join(noted, COMBO, "left")
-        .select(
-            *RUN_KEY,
-            passed.alias("passed"),
-            F.when(~passed, reason).alias("reason"),
-            (~passed & ~skipped).alias("retry"),
-        )
+        expected_words(campaigns).join(seen_words(results, success_wins), [*CELL, "word"], "left").join(_noted(combo_status), COMBO, "left")
+        .select(*CELL, "word", "wanted", F.coalesce("passed", nothing).bitwiseAND(F.col("wanted")).alias("passed"), F.coalesce("failed", nothing).alias("failed"), "_note")
     )
 
 
+def word_runs(words: DataFrame, passed: bool | None = None) -> DataFrame:
+    """The runs of audited words with passed, reason and retry, as of audited_runs; only those that passed, or did not, if asked for."""
+    wanted = F.col("wanted") if passed is None else F.col("passed") if passed else F.col("wanted").bitwiseAND(F.bitwise_not("passed"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("_bits", b) == 1)
+    runs = words.withColumn("_bits", wanted).withColumn("_bit", F.explode(bits))
+    status = F.when(F.getbit("passed", F.col("_bit")) == 1, "SUCCESS").when(F.getbit("failed", F.col("_bit")) == 1, "FAILED")
+    return _verdict(runs.withColumns({"run_number": F.col("word") * WORD + F.col("_bit") + 1, "status": status}))
+
+
+def retry_words(words: DataFrame) -> DataFrame:
+    """retry_index of audited words, by counting bits."""
+    open_runs = F.sum(F.bit_count(F.col("wanted").bitwiseAND(F.bitwise_not("passed")))).alias("runs")
+    return _with_list_path(words.filter(~_skipped()).groupBy(*COMBO).agg(open_runs).filter("runs > 0"))
+
+
 def retry_index(audited: DataFrame) -> DataFrame:
     """Combinations with runs to retry and where their list is written."""
-    path = F.format_string("region=%s/vm_size=%s/nodes=%d", "region", "vm_size", "nodes")
-    return audited.filter("retry").groupBy(*COMBO).agg(F.count(F.lit(1)).alias("runs")).withColumn("retry_list_path", path)
+    return _with_list_path(audited.filter("retry").groupBy(*COMBO).agg(F.count(F.lit(1)).alias("runs")))
+
+
+def _with_list_path(combos: DataFrame) -> DataFrame:
+    return combos.withColumn("retry_list_path", F.format_string("region=%s/vm_size=%s/nodes=%d", "region", "vm_size", "nodes"))
 
 
 def pending_plan(plan: DataFrame, runs: DataFrame) -> DataFrame:

@@ -25,11 +25,12 @@ def collect_results(
 ) -> dict[str, DataFrame]:
     """passed, failed_or_missing and combos_to_retry; retry lists are written if a path is given."""
     compact = plan_shaped(readers.compact_snapshots(results))
-    audited = stage(gaps.audited_runs(gaps.expected_runs(campaigns), compact, combo_status, success_wins), "audit")
+    words = stage(gaps.audited_words(campaigns, compact, combo_status, success_wins), "audit")
+    unfinished = gaps.word_runs(words, passed=False)
     if retry_path:
-        sinks.write_retry_lists(audited, retry_path)
+        sinks.write_retry_lists(unfinished, retry_path)
     return {
-        "passed": audited.filter("passed").select(*gaps.RUN_KEY),
-        "failed_or_missing": audited.filter("not passed").select(*gaps.RUN_KEY, "reason"),
-        "combos_to_retry": gaps.retry_index(audited),
+        "passed": gaps.word_runs(words, passed=True).select(*gaps.RUN_KEY),
+        "failed_or_missing": unfinished.select(*gaps.RUN_KEY, "reason"),
+        "combos_to_retry": gaps.retry_words(words),
     }
