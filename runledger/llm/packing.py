@@ -17,7 +17,8 @@ unique and the same when the task is run again over the same partition.
 
 Defined cases: a null or empty text has the end id only. Null or repeated ids
 pass; every row is a document of its own. Extra columns are ignored; an empty
-table gives no pieces. Strings of special tokens in a text are ordinary text.
+table gives no pieces. The strings of the tokenizer's added tokens have those
+tokens' ids, as the library gives them by default.
 """
 
 from __future__ import annotations
@@ -55,8 +56,9 @@ class WordEncoder(dict):
 
     The tokenizer drops white space and splits at it, so a text's ids are its
     words' ids joined. Plain words are split here and their parts go to the
-    tokenizer's model; any other word goes through the whole tokenizer. The
-    words met last are remembered, in two generations.
+    tokenizer's model; any other word, and one that holds an added token, goes
+    through the whole tokenizer. The words met last are remembered, in two
+    generations.
     """
 
     def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED) -> None:
@@ -64,7 +66,8 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.model, self.remembered, self.before = self.tokenizer.model, remembered, {}
 
     def whole(self, text: str) -> bytes:
@@ -73,7 +76,7 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            if not _PLAIN.fullmatch(word):
+            if self.added.search(word) or not _PLAIN.fullmatch(word):
                 ids = self.whole(word)
             elif len(parts := _PARTS.findall(word.lower())) > 1 or parts[0] != word:
                 ids = b"".join(map(self.__getitem__, parts))

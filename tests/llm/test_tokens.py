@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 from collections import defaultdict
 
@@ -97,10 +98,20 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(tokenizer):
+    """Ids of texts that hold the strings of added tokens, against the untouched library."""
+    draw = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<", "a", "it's", "\u00e9", "e\u0301", "12", " ", "\n", "\x1c", "\u3000", "!?"]
+    encoder = packing.WordEncoder(WORDS, remembered=50)
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer(text), text
+    assert np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
 def test_pieces_of_odd_texts(spark, tokenizer):
     texts = dict(enumerate(TEXTS))
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, start string").repartition(2)
