@@ -179,6 +179,59 @@ def _(t):
     return _retail(t)
 
 
+def _drifted_retail(t):
+    """Retail payloads of which some changed: no JSON, another name of the array, a price that is missing, null or a word, a new field."""
+    entry = '{"meterName":"%s","productName":"Virtual Machines"%s}'
+    price = F.col("p_retailprice").cast("string")
+    rest = (
+        F.when(F.col("p_partkey") % 11 == 1, "").when(F.col("p_partkey") % 11 == 2, ',"retailPrice":"n/a"')
+        .when(F.col("p_partkey") % 11 == 3, ',"retailPrice":null').when(F.col("p_partkey") % 11 == 4, F.format_string(',"retailPrice":%s,"unit":{"per":"hour"}', price))
+        .otherwise(F.format_string(',"retailPrice":%s', price))
+    )
+    array = F.when(F.col("p_partkey") % 11 == 5, "items").otherwise("Items")
+    text = F.format_string('{"%s":[{"meterName":"first","productName":"Virtual Machines","retailPrice":1.5},' + entry + "]}", array, "p_brand", rest)
+    return _part_payload(t, "%s", F.when(F.col("p_partkey") % 11 == 0, "<html>busy</html>").otherwise(text))
+
+
+@query("a7_quarantined_payloads", f"""
+    SELECT {_PART_KEYS}, CASE WHEN p_partkey % 11 IN (1, 2, 3) THEN 1 END AS position,
+      CASE p_partkey % 11 WHEN 0 THEN '$' WHEN 5 THEN '$.Items' ELSE '$.retailPrice' END AS path,
+      CASE p_partkey % 11 WHEN 0 THEN 'not JSON' WHEN 2 THEN 'wrong type' WHEN 3 THEN 'null' ELSE 'missing' END AS reason
+    FROM part WHERE p_partkey % 11 IN (0, 1, 2, 3, 5)
+""")
+def _(t):
+    return payloads.quarantined(_drifted_retail(t), "retail").drop("payload")
+
+
+@query("a7_drifted_payloads", f"""
+    SELECT {_PART_KEYS}, 'first' AS tier, CAST(1.5 AS DOUBLE) AS price_usd_hr FROM part WHERE p_partkey % 11 NOT IN (0, 5)
+    UNION ALL SELECT {_PART_KEYS}, p_brand, CASE WHEN p_partkey % 11 NOT IN (1, 2, 3) THEN p_retailprice END FROM part WHERE p_partkey % 11 NOT IN (0, 5)
+""")
+def _(t):
+    return payloads.retail_prices(_drifted_retail(t))
+
+
+@query("a7_unknown_fields", """
+    SELECT '$.unit' AS path, COUNT(*) AS entries, 'OBJECT<per: STRING>' AS types FROM part WHERE p_partkey % 11 = 4 HAVING COUNT(*) > 0
+""")
+def _(t):
+    return payloads.unknown_fields(_drifted_retail(t), "retail")
+
+
+@query("a6_quarantined_payloads", """
+    SELECT electricity_zone AS zone, CASE WHEN day(reading_date) = 13 THEN 'missing' ELSE 'wrong type' END AS reason, '$.carbonIntensity' AS path, COUNT(DISTINCT reading_date) AS entries
+    FROM {readings} WHERE day(reading_date) IN (13, 14) GROUP BY 1, 2
+""")
+def _(t):
+    """Days without an intensity, and days whose intensity became an object."""
+    number = r'"datetime":"(\d{4}-\d\d-%s)","carbonIntensity":[^,}]*'
+    drifted = _zone_payloads(t).select(
+        F.regexp_replace(F.regexp_replace("payload", number % "13", '"datetime":"$1"'), number % "14", '"datetime":"$1","carbonIntensity":{"lca":1.0}').alias("payload")
+    )
+    faults = payloads.quarantined(drifted, "carbon")
+    return faults.groupBy(F.get_json_object("payload", "$.zone").alias("zone"), "reason", "path").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query("d8_price_exclusion", f"SELECT {_PART_KEYS}, p_brand AS tier, p_retailprice AS price_usd_hr FROM part")
 def _(t):
     return payloads.without_spot_meters(_retail(t))

@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 DATA = os.environ.get("RUNLEDGER_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = [
-    "a3_malformed_lines", "a6_carbon_payloads", "a10_latest_runs", "b8_retry_lists", "c18_vcpu_inference", "d4_sla_fallback", "e4_nearest_readings",
+    "a3_malformed_lines", "a6_carbon_payloads", "a6_quarantined_payloads", "a7_drifted_payloads", "a7_quarantined_payloads", "a7_unknown_fields", "a10_latest_runs", "b8_retry_lists", "c18_vcpu_inference", "d4_sla_fallback", "e4_nearest_readings",
     "e13_priced_runs", "e14_pareto_front", "f3_profile_rollup", "f11_numeric_profile", "f25_paired_tests", "g6_tradeoff", "j3_holdout_split", "k4_cleaned_runs",
     "k5_merged_per_run", "k6_recommendations", "k7_cheapest_within_sla", "k9_recommendation_quality", "l1_streamed_runs",
 ]
