@@ -48,10 +48,10 @@ BANDS, BAND_BITS = 40, 14
 LIKENESS = 0.7
 #: Bits of a band's word besides its number (band bits, then a sketch), and leading bytes of a fingerprint in its node's number.
 WORD_BITS, SKETCH_BYTES = 56, 4
-#: Likely pairs of a row in a bucket, above which it puts out itself; rows of a bucket that is dealt again, and how often.
-NEAR_ROWS, BUCKET_ROWS, DEALS = 8, 4096, 2
-#: Sub-buckets and further bits of a bucket that is dealt again, and rows a task compares at once (buckets are kept whole).
-AGAIN, AGAIN_BITS, INDEX_ROWS = 8, 8, 200_000
+#: Likely pairs of a row in a bucket, above which it puts out itself; rows of a bucket, and of each block of a larger one, that are compared at once.
+NEAR_ROWS, BUCKET_ROWS = 8, 4096
+#: Rows of whole buckets that a task holds.
+INDEX_ROWS = 200_000
 ADDED = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
@@ -275,16 +275,19 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def shared_classes(rows: DataFrame, bits: int = BITS, bands: int = BANDS, band_bits: int = BAND_BITS, least: float = LIKENESS, limit: int = BUCKET_ROWS) -> DataFrame:
     """(raw, class_id, documents) of every class with several documents. rows: id, raw (the fingerprint's bytes).
 
-    Fingerprints are linked if a bit-sampled band agrees and the whole
-    fingerprints are verified to be at least `least` alike. Equal ones are one
-    node with a number of its own, so a group of copies has one row in each band. Such a row is two
+    Fingerprints are linked if a bit-sampled band agrees, so do enough of that
+    band's sketch bits, and the whole fingerprints are verified to be at least
+    `least` alike: whether two are linked depends on these two alone, not on how
+    many rows there are. Equal ones are one node with a number of its own, so a
+    group of copies has one row in each band. Such a row is two
     longs: a word (band, its sampled bits, a sketch of other bits) and the node,
     whose upper half is a sketch too. In a bucket the sketches choose the pairs
     that are worth verifying. A row with more than NEAR_ROWS of them, as in a
-    group of near copies, puts out itself instead of its pairs, and so do the
-    rows of a bucket over `limit`: these few get their fingerprints at once,
-    buckets still over `limit` are dealt again by further bits, and each puts out
-    links to its components' roots.
+    group of near copies, puts out itself instead of its pairs: these few get
+    their fingerprints at once, and each bucket of them puts out links to its
+    components' roots, by the same sketches. A bucket over `limit` is cut into
+    blocks of about `limit` rows; each two blocks are compared like a bucket, so
+    no pair of it is left out and no task holds all of it.
     """
     draw = np.random.default_rng(SEED + 1)
     # Band bits first, then those of the sketch; the bits of the node's sketch aren't used again.
@@ -302,13 +305,27 @@ def shared_classes(rows: DataFrame, bits: int = BITS, bands: int = BANDS, band_b
                 words = np.ascontiguousarray(np.hstack([np.full((len(table), 1), i, np.uint8), np.packbits(table[:, pick], axis=1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(">i8").ravel().astype(np.int64)), batch.column(0)], names=["word", "node"])
 
+    def chosen_rows(left: np.ndarray, right: np.ndarray, nodes_: np.ndarray, buckets: np.ndarray, kind: int) -> pa.RecordBatch:
+        """Pairs (kind 0), then rows of their own: a node and its bucket (dense, kind 1) or its word (of a large bucket, kind 2)."""
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([np.minimum(left, right), nodes_])), pa.array(np.concatenate([np.maximum(left, right), buckets])),
+            pa.array(np.repeat(np.array([0, kind], np.int32), [len(left), len(nodes_)])),
+        ], names=["a", "b", "kind"])
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(word: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            bucket, upper = word >> shift, node >> 32
-            sketch = word & ((1 << shift) - 1)
+        none = np.empty(0, np.int64)
+        passed = -1  # the large bucket whose first rows were passed on already
+
+        def found(word: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = word >> shift
             starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-            large = np.repeat(np.diff(np.append(starts, len(bucket))) > limit, np.diff(np.append(starts, len(bucket))))
-            at, left, right, step = np.flatnonzero(~large), [], [], 0
+            sizes = np.diff(np.append(starts, len(bucket)))
+            large = (np.repeat(sizes, sizes) > limit) | (bucket == passed)
+            if large.any():
+                yield chosen_rows(none, none, node[large], word[large], 2)
+            word, node, bucket = word[~large], node[~large], bucket[~large]
+            upper, sketch = node >> 32, word & ((1 << shift) - 1)
+            at, left, right, step = np.arange(len(bucket)), [], [], 0
             while len(at):
                 step += 1
                 at = at[at + step < len(bucket)]
@@ -318,29 +335,73 @@ def shared_classes(rows: DataFrame, bits: int = BITS, bands: int = BANDS, band_b
                 close = differ <= allowed
                 left.append(at[close])
                 right.append(other[close])
-            left, right = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-            dense = large | (np.bincount(left, minlength=len(bucket)) + np.bincount(right, minlength=len(bucket)) > NEAR_ROWS)
+            left, right = (np.concatenate(x) if x else none for x in (left, right))
+            dense = np.bincount(left, minlength=len(bucket)) + np.bincount(right, minlength=len(bucket)) > NEAR_ROWS
             pairs = ~(dense[left] & dense[right])
-            left, right = node[left[pairs]], node[right[pairs]]
-            alone = np.flatnonzero(dense)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([np.minimum(left, right), node[alone]])), pa.array(np.concatenate([np.maximum(left, right), bucket[alone]])),
-                pa.array(np.repeat([False, True], [len(left), len(alone)])),
-            ], names=["a", "b", "dense"])
-
-        held_word, held = np.empty(0, np.int64), np.empty(0, np.int64)
+            yield chosen_rows(node[left[pairs]], node[right[pairs]], node[dense], bucket[dense], 1)
+
+        held_word, held = none, none
         for batch in batches:
             held_word, held = np.concatenate([held_word, batch.column(0).to_numpy()]), np.concatenate([held, batch.column(1).to_numpy()])
-            if len(held) >= INDEX_ROWS and (cut := int(np.searchsorted(held_word >> shift, held_word[-1] >> shift))):
-                yield found(held_word[:cut], held[:cut])
-                held_word, held = held_word[cut:], held[cut:]
+            if len(held) >= INDEX_ROWS:
+                cut = int(np.searchsorted(held_word >> shift, held_word[-1] >> shift))
+                if not cut and len(held) > limit:
+                    passed, cut = int(held_word[-1] >> shift), len(held)
+                if cut:
+                    yield from found(held_word[:cut], held[:cut])
+                    held_word, held = held_word[cut:], held[cut:]
         if len(held):
-            yield found(held_word, held)
+            yield from found(held_word, held)
+
+    def choose_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same for two blocks of a large bucket (or one with itself)."""
+
+        def found(unit: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            word, node, block = (np.concatenate([r.column(i).to_numpy() for r in rows]) for i in (3, 4, 5))
+            upper, sketch = (node >> 32) & 0xFFFFFFFF, word & ((1 << shift) - 1)
+            first, second = np.flatnonzero(block == unit[1]), np.flatnonzero(block == unit[2])
+            close = np.empty((len(first), len(second)), bool)
+            for i, at in enumerate(first):
+                differ = np.bitwise_count(sketch[second] ^ sketch[at]).astype(np.int64) + np.bitwise_count(upper[second] ^ upper[at])
+                close[i] = differ <= allowed
+            if unit[1] == unit[2]:
+                close = np.triu(close, 1)
+            likely = np.zeros(len(node), np.int64)
+            likely[first] += close.sum(axis=1)
+            likely[second] += close.sum(axis=0)
+            dense = likely > NEAR_ROWS
+            left, right = np.nonzero(close & ~(dense[first][:, None] & dense[second]))
+            left, right, alone = node[first[left]], node[second[right]], np.flatnonzero(dense)
+            chosen = chosen_rows(left, right, node[alone], np.full(len(alone), unit[0]), 1)
+            return pa.RecordBatch.from_arrays([*chosen.columns, *(pa.array(np.full(chosen.num_rows, x, np.int32)) for x in unit[1:])], names=["a", "b", "kind", "first", "second"])
+
+        unit, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1) if batch.num_rows else np.empty((0, 3), np.int64)
+            starts = np.flatnonzero((np.diff(keys, axis=0, prepend=-1 - keys[:1]) != 0).any(axis=1))
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+                now = tuple(int(x) for x in keys[start])
+                if now != unit and held:
+                    yield found(unit, held)
+                    held = []
+                unit = now
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield found(unit, held)
 
     known = nodes.filter("raw IS NOT NULL").select("node", "raw")
     bucket = F.shiftright("word", shift)
     banded = known.mapInArrow(band, "word long, node long").repartition(bucket).sortWithinPartitions("word")
-    chosen = stage(banded.mapInArrow(choose, "a long, b long, dense boolean"), "candidates")
+    chosen = stage(banded.mapInArrow(choose, "a long, b long, kind int"), "candidates").withColumns({"first": F.lit(0), "second": F.lit(0)})
+    large = chosen.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("word"), F.shiftright("b", shift).alias("bucket"))
+    if not large.isEmpty():
+        blocks = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("blocks"))
+        placed = large.join(stage(blocks, "large-buckets"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        met = placed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        units = met.select("bucket", F.least("block", "met").alias("first"), F.greatest("block", "met").alias("second"), "word", "node", "block")
+        units = units.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
+        compared = stage(units.mapInArrow(choose_blocks, "a long, b long, kind int, first int, second int"), "candidates")
+        chosen = chosen.filter("kind < 2").unionByName(compared)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,11 +410,16 @@ def shared_classes(rows: DataFrame, bits: int = BITS, bands: int = BANDS, band_b
                 near = pa.array(1.0 - 2.0 * differ / bits >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["f", "root"])
 
-    pairs = chosen.filter("NOT dense").select("a", "b").distinct()
+    pairs = chosen.filter("kind = 0").select("a", "b").distinct()
     pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("raw").alias("raw_a")), "a").join(known.select(F.col("node").alias("b"), F.col("raw").alias("raw_b")), "b")
     links = pairs.select("a", "b", "raw_a", "raw_b").mapInArrow(verify, "f long, root long")
-    dense = chosen.filter("dense").select(F.col("a").alias("node"), F.col("b").alias("bucket"))
-    links = links.unionByName(_star_links(dense.join(known, "node"), bits, least, limit))
+    dense = chosen.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("bucket"), "first", "second")
+    masks = []
+    for pick in picks:
+        mask = np.zeros(bits, np.uint8)
+        mask[: 8 * SKETCH_BYTES] = mask[pick[band_bits:]] = 1
+        masks.append(np.packbits(mask).view(np.uint64))
+    links = links.unionByName(_star_links(dense.join(known, "node"), bits, least, masks, band_bits, allowed))
     linked = components(links).withColumnRenamed("f", "node")
     rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("documents")).filter("documents > 1")
@@ -364,51 +430,20 @@ def _unpacked(raw: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)
 
 
-def _star_links(rows: DataFrame, bits: int, least: float, limit: int) -> DataFrame:
-    """(f, root): each linked node and its component's root in a bucket, verified. rows: node, bucket, raw.
+def _star_links(rows: DataFrame, bits: int, least: float, masks: list[np.ndarray], band_bits: int, allowed: float) -> DataFrame:
+    """(f, root): each linked node and its component's root in a bucket (or two blocks of it), verified. rows: node, bucket, first, second, raw.
 
-    A bucket over `limit` is dealt again, DEALS times at most: each row goes to
-    AGAIN sub-buckets by AGAIN_BITS further bits each. The bits are drawn for each
-    bucket by itself, so a pair that misses in one of its bands' buckets has its
-    other bands: at `LIKENESS` it is found with probability 0.974 after two deals.
+    masks: for each band the bits of its sketch, of which `allowed` may differ.
     """
-    rows = rows.select("bucket", "node", "raw")
-
-    def again(deal: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            powers = 1 << np.arange(AGAIN_BITS, dtype=np.int64)
-            for batch in slices(batches, 4096):
-                table, bucket = _unpacked(batch.column(2).to_pylist()), batch.column(0).to_numpy()
-                parts = np.empty((AGAIN, len(table)), np.int64)
-                for one in np.unique(bucket):
-                    draw = np.random.default_rng([SEED + 2 + deal, int(one) & (2**63 - 1), int(one < 0)])
-                    here = np.flatnonzero(bucket == one)
-                    for i in range(AGAIN):
-                        parts[i, here] = table[np.ix_(here, draw.choice(bits, AGAIN_BITS, replace=False))] @ powers + (i << AGAIN_BITS)
-                for part in parts:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), batch.column(1), batch.column(2)], names=["bucket", "part", "node", "raw"])
-
-        return run
-
-    done = []
-    for deal in range(DEALS):
-        rows = stage(rows, "dense")
-        large = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("bucket"), "large-buckets")
-        if large.isEmpty():
-            break
-        done.append(rows.join(large, "bucket", "left_anti"))
-        dealt = rows.join(large, "bucket", "left_semi").mapInArrow(again(deal), "bucket long, part long, node long, raw binary")
-        rows = dealt.select(F.xxhash64("bucket", "part").alias("bucket"), "node", "raw")
-    for part in done:
-        rows = rows.unionByName(part)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(members: list[int], raw: list[bytes]) -> pa.RecordBatch:
+        def found(members: list[int], raw: list[bytes], mask: np.ndarray) -> pa.RecordBatch:
             table, root = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1), np.arange(len(raw))
             for at in range(len(raw) - 1):
                 others = at + 1 + np.flatnonzero(root[at + 1 :] != root[at])
-                differ = np.bitwise_count(table[others] ^ table[at]).sum(axis=1)
-                near = others[1.0 - 2.0 * differ / bits >= least]
+                differ = table[others] ^ table[at]
+                alike = 1.0 - 2.0 * np.bitwise_count(differ).sum(axis=1) / bits >= least
+                near = others[alike & (np.bitwise_count(differ & mask).sum(axis=1) <= allowed)]
                 if len(near):
                     joined = np.unique(np.append(root[near], root[at]))
                     root[np.isin(root, joined)] = joined[0]
@@ -418,14 +453,15 @@ def _star_links(rows: DataFrame, bits: int, least: float, limit: int) -> DataFra
 
         now, members, raw = None, [], []
         for batch in batches:
-            for key, node, bytes_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for *key, node, bytes_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != now:
                     if len(members) > 1:
-                        yield found(members, raw)
+                        yield found(members, raw, masks[now[0] >> band_bits])
                     now, members, raw = key, [], []
                 members.append(node)
                 raw.append(bytes_)
         if len(members) > 1:
-            yield found(members, raw)
+            yield found(members, raw, masks[now[0] >> band_bits])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(verify, "f long, root long")
+    unit = ["bucket", "first", "second"]
+    return rows.select(*unit, "node", "raw").repartition(*unit).sortWithinPartitions(*unit, "node").mapInArrow(verify, "f long, root long")

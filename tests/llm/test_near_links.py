@@ -45,3 +45,41 @@ def test_fingerprints_of_one_number_are_not_merged(spark, monkeypatch):
     frame = spark.createDataFrame([(i, raw and bytearray(raw)) for i, raw in rows], "id long, raw binary")
     found = {r["id"]: (r["class_id"], r["documents"]) for r in frame.join(edit_fingerprints.shared_classes(frame), "raw", "left").collect()}
     assert found == {0: (0, 2), 6: (0, 2), 3: (3, 2), 7: (3, 2), **dict.fromkeys([1, 2, 4, 5, 8, 9], (None, None))}
+
+
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark):
+    """Crowded bands, single pairs and a dense group: classes are those of every pair that a band and its sketch agree on, whatever the limit."""
+    draw = np.random.default_rng(3)
+    bits, bands, first = edit_fingerprints.BITS, 2, 8 * edit_fingerprints.SKETCH_BYTES
+    picks = np.random.default_rng(edit_fingerprints.SEED + 1)
+    picks = [picks.choice(np.arange(first, bits), edit_fingerprints.WORD_BITS, replace=False) for _ in range(bands)]
+    # All rows agree in the first band.
+    shared, free = draw.integers(0, 2, bits, dtype=np.uint8), draw.random(bits) < 0.45
+    free[picks[0][: edit_fingerprints.BAND_BITS]] = False
+    others = np.setdiff1d(np.arange(bits), picks[0][: edit_fingerprints.BAND_BITS])
+    table = [np.where(free, draw.integers(0, 2, bits, dtype=np.uint8), shared) for _ in range(150)]
+    for of, times in [(i, 1) for i in range(1, 100)] + [(0, 40)]:
+        for _ in range(times):
+            near = table[of].copy()
+            near[draw.choice(others, draw.integers(60, 76), replace=False)] ^= 1
+            table.append(near)
+    table = np.array(table)
+    share = (1 - edit_fingerprints.LIKENESS) / 2
+    root = np.arange(len(table))
+    differ = table[:, None] != table[None]
+    linked = np.zeros(differ.shape[:2], bool)
+    for pick in picks:
+        seen = [*range(first), *pick[edit_fingerprints.BAND_BITS :]]
+        allowed = len(seen) * share + 3 * (len(seen) * share * (1 - share)) ** 0.5
+        linked |= ~differ[:, :, pick[: edit_fingerprints.BAND_BITS]].any(axis=2) & (differ[:, :, seen].sum(axis=2) <= allowed)
+    linked &= 1 - 2 * differ.mean(axis=2) >= edit_fingerprints.LIKENESS
+    for i in range(len(table)):
+        joined = np.unique(root[linked[i]])
+        root[np.isin(root, joined)] = joined[0]
+    sizes = np.bincount(root, minlength=len(table))
+    wanted = {i: int(root[i]) if sizes[root[i]] > 1 else None for i in range(len(table))}
+    assert sum(sizes == 2) > 50 and sizes.max() > 20
+    frame = spark.createDataFrame([(i, bytearray(np.packbits(b).tobytes())) for i, b in enumerate(table)], "id long, raw binary")
+    for limit in (edit_fingerprints.BUCKET_ROWS, 20):
+        found = {r["id"]: r["class_id"] for r in frame.join(edit_fingerprints.shared_classes(frame, bands=bands, limit=limit), "raw", "left").collect()}
+        assert found == wanted, limit
