@@ -40,9 +40,14 @@ def _proxy() -> Column:
 
 
 def cells(runs: DataFrame) -> DataFrame:
-    """Sums, counts and the fastest run per scenario, configuration and zone."""
+    """Sums, counts and the fastest run per scenario, configuration and zone.
+
+    Spark sorts all rows for the least of a struct but keeps that of a number in
+    a hash table, so the least runtime comes first, then the least cost among
+    the cell's runs that have it.
+    """
     complete = runs.dropna(subset=[*CELL, ZONE, "carbon_intensity_mean", "renewable_percentage_mean", *fv.TARGETS])
-    return complete.groupBy(*CELL, ZONE).agg(
+    sums = complete.groupBy(*CELL, ZONE).agg(
         F.count(F.lit(1)).alias("runs"),
         F.sum("runtime_minutes").alias("runtime_sum"),
         F.sum("cost_usd").alias("cost_sum"),
@@ -50,8 +55,14 @@ def cells(runs: DataFrame) -> DataFrame:
         measures.mean_of("cost_usd").alias("measured_cost_usd"),
         measures.mean_of("carbon_intensity_mean").alias("carbon_intensity_mean"),
         measures.mean_of("renewable_percentage_mean").alias("renewable_percentage_mean"),
-        F.min(F.struct("runtime_minutes", "cost_usd")).alias("fastest_run"),
-    ).withColumn("measured_emissions", _proxy())
+        F.min("runtime_minutes").alias("_least"),
+    )
+    sums = stage(sums, "cell-sums")
+    least = sums.select(*CELL, ZONE, "_least")
+    fastest = complete.join(least, [*CELL, ZONE]).filter(F.col("runtime_minutes") == F.col("_least")).groupBy(*CELL, ZONE).agg(F.min("cost_usd").alias("_cheapest"))
+    run = F.struct(F.col("_least").alias("runtime_minutes"), F.col("_cheapest").alias("cost_usd"))
+    joined = sums.join(fastest, [*CELL, ZONE]).withColumn("fastest_run", run).drop("_least", "_cheapest")
+    return joined.withColumn("measured_emissions", _proxy())
 
 
 def first_zone_rows(table: DataFrame) -> DataFrame:
