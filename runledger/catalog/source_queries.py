@@ -65,8 +65,7 @@ def _(t):
 def _dropped_files(t, folder=None):
     """Snapshot files in one sub-folder each, as the machines drop them."""
     folder = folder or new_path(t.spark, "drops")
-    snapshots = t("snapshots")
-    snapshots.withColumn("drop", F.col("source_file")).drop("source_file").write.partitionBy("drop").option("header", True).csv(folder)
+    sinks.write_drops(t("snapshots"), folder)
     return folder
 
 
