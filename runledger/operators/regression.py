@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
@@ -187,10 +187,10 @@ def long_predictions(predicted: DataFrame, *keys: str) -> DataFrame:
     return predicted.select(*keys, pairs.alias("_p")).select(*keys, "_p.*")
 
 
-def prediction_comparison(predicted: DataFrame, model_type: str) -> DataFrame:
-    """Actual and predicted targets of the test rows of one model."""
+def prediction_comparison(predicted: DataFrame, label: Column) -> DataFrame:
+    """Actual and predicted targets of the test rows, under their model's label."""
     return predicted.select(
-        F.lit(LABELS[model_type]).alias("model"), "cloud", "region", "dataset_size_mb", "workload_type", "machine_type", "nodes",
+        label.alias("model"), "cloud", "region", "dataset_size_mb", "workload_type", "machine_type", "nodes",
         F.col("runtime_minutes").alias("actual_runtime_minutes"), "predicted_runtime_minutes",
         F.col("cost_usd").alias("actual_cost_usd"), "predicted_cost_usd",
     )
@@ -266,17 +266,20 @@ def best_model(per_fold: DataFrame) -> DataFrame:
 
 
 def compare_models(dataset: DataFrame, model_types: list[str] | None = None, **overrides: dict) -> dict[str, DataFrame]:
-    """Hold-out metrics, averages and actual-against-predicted rows of every model."""
+    """Hold-out metrics, averages and actual-against-predicted rows of every model.
+
+    The hold-out is written once, and its distinct feature vectors are scored by
+    every model; one join gives each run all models' predictions.
+    """
     train, test = holdout_split(stage(model_rows(dataset), "model-rows"))
+    test = stage(test, "test-rows")
     cells = training_cells(train)
-    comparison, long = None, None
-    for model_type in model_types or list(LABELS):
-        predicted = predicted_rows(test, fit(cells, model_type, **overrides.get(model_type, {})))
-        table = prediction_comparison(predicted, model_type)
-        pairs = long_predictions(predicted).withColumn("model", F.lit(model_type))
-        comparison = table if comparison is None else comparison.unionByName(table)
-        long = pairs if long is None else long.unionByName(pairs)
-    metrics = stage(statistics.regression_metrics(long, ["model", "target"]), "metrics")
+    vectors = stage(test.select(*fv.FEATURES).distinct(), "test-vectors")
+    wanted = model_types or list(LABELS)
+    scores = [unclamped(fit(cells, m, **overrides.get(m, {})), vectors).withColumn("model", F.lit(m)) for m in wanted]
+    predicted = test.join(stage(_union(scores), "predictions"), fv.FEATURES)
+    metrics = stage(statistics.regression_metrics(long_predictions(predicted, "model"), ["model", "target"]), "metrics")
+    comparison = prediction_comparison(predicted, F.coalesce(*[F.when(F.col("model") == m, F.lit(LABELS[m])) for m in wanted]))
     return {"predictions": comparison, "metrics": metrics, "averages": statistics.average_metrics(metrics, ["model"])}
 
 
