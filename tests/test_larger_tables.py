@@ -1,8 +1,11 @@
 """Steps whose sorts, spills or repeated scans grew with the table."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from runledger.catalog import load, model_queries
 from runledger.operators import evaluation, regression
 from runledger.sources import sinks
 
@@ -44,3 +47,20 @@ def test_the_hold_out_is_written_and_scored_once_for_all_models(spark, monkeypat
     counts = {r["model"]: r["count"] for r in found["predictions"].groupBy("model").count().collect()}
     assert set(counts) == {"Linear Regression", "Decision Tree"} and len(set(counts.values())) == 1
     assert {(r["model"], r["target"]) for r in found["metrics"].collect()} == {(m, t) for m in ("linear_regression", "decision_tree") for t in ("runtime_minutes", "cost_usd")}
+
+
+def test_a_snapshot_is_one_batch_however_many_files_it_has(spark, tmp_path, monkeypatch):
+    lines = [(i, i % 5, i % 3, i % 7, float(i % 50), 100.0 * i, 0.01 * (i % 9), 0.0, "ANR"[i % 3], "O", datetime(1995 + i % 5, 3, 1 + i % 20)) for i in range(300)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i) for i in range(3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, i) for i in range(5)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(model_queries, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    rows = load()[0]["l1_streamed_runs"](spark, str(tmp_path)).collect()
+    assert sum(r["runs"] for r in rows) == 300 and sum(r["run_numbers"] for r in rows) == sum(i % 40 + 1 for i in range(300))
+    assert len(list(tmp_path.glob("landing/*/*.csv"))) > 3 and len(list(tmp_path.glob("ingested/batch=*"))) == 3
+
+
+def test_names_of_drops_come_in_order_with_null(spark):
+    rows = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "source_file string")
+    assert sinks.drop_names(rows) == [None, "a", "b"] and sinks.drop_names(rows.limit(0)) == []
