@@ -16,53 +16,94 @@ _ACCURACY = 10_000
 _MARGIN = 10 / _ACCURACY  # ten times the error the sketch admits
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], beside: dict[str, Column] | None = None) -> DataFrame:
-    """Exact quantiles per key (null keys are a key): only rows near the wanted ranks are shuffled.
+_CHUNK = 4096  # copies of a value that are unfolded at once
+
 
-    A mergeable sketch gives bounds around each quantile; one more scan counts
-    the rows below each bound and passes on the rows inside, about 0.2 % per
-    quantile. The counts prove whether the wanted ranks lie inside; if any does
-    not, all rows are sorted instead. beside: aggregates of the column `_v` (the
-    values as doubles) that are taken in the scan of the sketch.
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], beside: dict[str, Column] | None = None) -> DataFrame:
+    """Exact quantiles per key (null keys are a key): only rows between the bounds of the wanted ranks are sorted.
+
+    A mergeable sketch gives two bounds around each quantile. One more scan
+    counts the rows at, between and outside the bounds; of those between the
+    bounds of a quantile, about 0.2 % of all, the values stay. The counts prove
+    whether the wanted ranks lie inside; if any does not, all rows are sorted
+    instead. A value that many rows share is itself a bound, so a rank that
+    falls on it is known from the counts and its rows are never moved. beside:
+    aggregates of the column `_v` (the values as doubles) that are taken in the
+    scan of the sketch.
     """
     names = list(probabilities)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
     levels = [min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-_MARGIN, _MARGIN)]
     aggregates = [c.alias(n) for n, c in (beside or {}).items()]
     first = stage(rows.groupBy(*keys).agg(F.percentile_approx("_v", levels, _ACCURACY).alias("_bounds"), *aggregates), "bounds")
-    sketch = first.select(*keys, "_bounds")
-    bounded = _null_safe(rows, sketch, keys) if keys else rows.withColumn("_bounds", sketch.select("_bounds").scalar())
+    bounds, zones = ([F.col(f"{c}{j}") for j in range(len(levels))] for c in ("_bound", "_zone"))
+
+    def up_to(bound: Column) -> Column:
+        return F.size(F.filter("_bounds", lambda b: b < bound)) + F.size(F.filter("_bounds", lambda b: b <= bound))
+
+    # A value's zone is how many bounds are below it and how many up to it, added: it rises with the value and tells a bound from what is on either side.
+    every = [F.get("_bounds", F.lit(j)) for j in range(len(levels))]
+    sketch = stage(first.select(*keys, *[b.alias(f"_bound{j}") for j, b in enumerate(every)], *[up_to(b).alias(f"_zone{j}") for j, b in enumerate(every)]), "sketch")
+
+    def with_sketch(table: DataFrame, columns: list[Column]) -> DataFrame:
+        if keys:
+            return _null_safe(table, sketch.select(*keys, *columns), keys)
+        return table.withColumn("_s", sketch.select(F.struct(*columns)).scalar()).select("*", "_s.*").drop("_s")
+
+    def between(i: int, at: Column, limits: list[Column]) -> Column:
+        return (at > limits[2 * i]) & (at < limits[2 * i + 1])
 
-    def low(i: int) -> Column:
-        return F.lit(float("-inf")) if probabilities[names[i]] <= _MARGIN else F.get("_bounds", F.lit(2 * i))
+    v, at = F.col("_v"), F.col("_zone")
+    near = reduce(lambda a, b: a | b, [between(i, v, bounds) for i in range(len(names))])
+    zone = reduce(lambda a, b: a + b, [(b < v).cast("int") + (b <= v).cast("int") for b in bounds])
+    placed = with_sketch(rows, bounds).select(*keys, zone.alias("_zone"), F.when(near, v).alias("_v"))
+    cells = with_sketch(stage(placed.groupBy(*keys, "_zone", "_v").agg(F.count(F.lit(1)).alias("_n")), "cells"), zones)
 
-    def high(i: int) -> Column:
-        return F.lit(float("inf")) if probabilities[names[i]] >= 1 - _MARGIN else F.get("_bounds", F.lit(2 * i + 1))
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
 
     counts = stage(
-        bounded.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_total"),
-            *[F.count_if(F.col("_v") < low(i)).alias(f"_below{i}") for i in range(len(names))],
-            *[F.count_if((F.col("_v") >= low(i)) & (F.col("_v") <= high(i))).alias(f"_inside{i}") for i in range(len(names))],
+        cells.groupBy(*keys).agg(
+            rows_where(F.lit(True)).alias("_total"),
+            *[rows_where(at < zones[2 * i]).alias(f"_below{i}") for i in range(len(names))],
+            *[rows_where(at == zones[2 * i]).alias(f"_low{i}") for i in range(len(names))],
+            *[rows_where(between(i, at, zones)).alias(f"_inside{i}") for i in range(len(names))],
+            *[rows_where((at == zones[2 * i + 1]) & (at > zones[2 * i])).alias(f"_high{i}") for i in range(len(names))],
         ),
         "counts",
     )
     h = {i: F.lit(float(probabilities[n])) * (F.col("_total") - 1) for i, n in enumerate(names)}
-    missed = [
-        (F.floor(h[i]) < F.col(f"_below{i}")) | (F.ceil(h[i]) >= F.col(f"_below{i}") + F.col(f"_inside{i}")) for i in h
-    ]
+    opens = {i: F.col(f"_below{i}") + F.col(f"_low{i}") for i in h}  # the first rank between the bounds
+    ends = {i: opens[i] + F.col(f"_inside{i}") for i in h}
+    missed = [(F.floor(h[i]) < F.col(f"_below{i}")) | (F.ceil(h[i]) >= ends[i] + F.col(f"_high{i}")) for i in h]
     if not counts.filter(reduce(lambda a, b: a | b, missed)).isEmpty():
         return _beside(exact_quantiles(df, keys, value, probabilities), first, keys, beside)
 
-    inside = bounded.withColumn("_i", F.explode(F.filter(
-        F.array(*[F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), F.lit(i)) for i in range(len(names))]),
-        lambda i: i.isNotNull(),
-    )))
-    wanted = counts.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), (h[i] - F.col(f"_below{i}")).alias("_h")) for i in h
-    ])).alias("_w")).select(*keys, "_w._i", "_w._h")
-    found = _values_at(inside.select(*keys, "_i", "_v"), [*keys, "_i"], wanted)
-    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    asked = stage(with_sketch(counts, bounds).select(*keys, F.explode(F.array(*[
+        F.struct(
+            F.lit(i).alias("_i"), F.lit(side).alias("_side"), (h[i] - F.floor(h[i])).alias("_share"), (rank - opens[i]).cast("double").alias("_h"),
+            F.when(rank < opens[i], bounds[2 * i]).when(rank >= ends[i], bounds[2 * i + 1]).alias("_q"),
+        )
+        for i in h for side, rank in enumerate((F.floor(h[i]), F.ceil(h[i])))
+    ])).alias("_w")).select(*keys, "_w.*"), "asked")
+    found = asked.dropna(subset=["_q"]).drop("_h")
+    open_ranks = asked.filter(F.col("_q").isNull())
+    if not open_ranks.isEmpty():
+        inside = cells.dropna(subset=["_v"]).withColumn("_i", F.explode(F.filter(
+            F.array(*[F.when(between(i, at, zones), F.lit(i)) for i in h]), lambda i: i.isNotNull(),
+        )))
+        chunks = inside.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_CHUNK).cast("long"))))
+        copies = F.least(F.col("_n") - F.col("_from"), F.lit(_CHUNK)).cast("int")
+        each = chunks.select(*keys, "_i", F.explode(F.array_repeat("_v", copies)).alias("_v"))
+        wanted = open_ranks.select(*keys, "_i", "_side", "_share", "_h")
+        found = found.unionByName(_values_at(each, [*keys, "_i"], wanted))
+
+    def picked(i: int, side: int, column: str) -> Column:
+        return F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col(column)))
+
+    found = found.groupBy(*keys).agg(*[
+        (picked(i, 0, "_q") + (picked(i, 1, "_q") - picked(i, 0, "_q")) * picked(i, 0, "_share")).alias(n) for i, n in enumerate(names)
+    ])
     return _beside(found, first, keys, beside)
 
 

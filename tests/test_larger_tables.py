@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from runledger.catalog import load, model_queries
-from runledger.operators import evaluation, regression
+from runledger.operators import evaluation, quantiles, regression
 from runledger.sources import sinks
 
 NAMES = ["workload_type", "dataset_size_mb", "cloud", "region", "machine_type", "nodes", "electricity_zone", "runtime_minutes", "cost_usd", "carbon_intensity_mean", "renewable_percentage_mean"]
@@ -64,3 +66,24 @@ def test_a_snapshot_is_one_batch_however_many_files_it_has(spark, tmp_path, monk
 def test_names_of_drops_come_in_order_with_null(spark):
     rows = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "source_file string")
     assert sinks.drop_names(rows) == [None, "a", "b"] and sinks.drop_names(rows.limit(0)) == []
+
+
+def test_tied_values_are_not_moved_for_quantiles(spark, monkeypatch):
+    """What many rows share is found from the counts; of the rest only the rows between the bounds of a quantile are sorted."""
+    sorted_rows, placed = [], quantiles._placed
+    monkeypatch.setattr(quantiles, "_placed", lambda values, keys: (sorted_rows.append(values.count()), placed(values, keys))[1])
+    monkeypatch.setattr(quantiles, "_CHUNK", 5)
+    monkeypatch.setattr(quantiles, "exact_quantiles", None)
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.75, "e": 1.0}
+    draw = np.random.default_rng(5)
+    groups = {"two": draw.integers(0, 2, 20000) * 2.0 + 2, "fifty": draw.integers(1, 51, 20000) / 10, "many": np.round(draw.normal(0, 1, 20000), 3)}
+
+    def check(names):
+        rows = spark.createDataFrame([(k, float(v)) for k in names for v in groups[k]], "k string, v double").repartition(5)
+        for r in quantiles.quantiles(rows, ["k"], "v", wanted).collect():
+            assert [r[n] for n in wanted] == pytest.approx([np.quantile(groups[r["k"]], p) for p in wanted.values()], abs=1e-9)
+
+    check(["two", "fifty"])
+    assert sorted_rows == []
+    check(groups)
+    assert len(sorted_rows) == 1 and 20 < sorted_rows[0] < 400
