@@ -1,4 +1,5 @@
 import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -201,3 +202,22 @@ def test_rows_for_a_wanted_size(spark, tmp_path):
     sinks.write_csv(generator.generate_events(spark.range(0, generator.rows_for_size(2), 1, 4)), str(path))
     written = sum(f.stat().st_size for f in path.glob("*.csv"))
     assert written == pytest.approx(2 * 1024 * 1024, rel=0.03)
+
+
+def test_landed_and_shuffled_files_do_not_pile_up(spark, tmp_path):
+    """Compressed snapshots; the files of a finished batch go when the next begins, its shuffle files when it ends."""
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("landing", "table", "checkpoint"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in (str(x) for x in blocks.getAllBlocks().mkString(" ").split()) if b.startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(ingest.CLEANUP)
+    for n in (200, 400, 600):
+        sinks.write_drop(vm_rows(spark, n).withColumn("source_file", F.lit(n)), landing, n, compressed=True)
+        ingest.ingest(ingest.result_stream(spark, landing, done="delete"), table, checkpoint).awaitTermination()
+    assert sorted(r.Run_Number for r in spark.read.parquet(table).collect()) == list(range(1, 601))
+    assert {f.parent.name for f in (tmp_path / "landing").glob("*/part-*")} == {"drop=600"}
+    assert all(f.name.endswith(".csv.gz") for f in (tmp_path / "landing").glob("*/part-*"))
+    waited = 0
+    while shuffled() - before and waited < 100:
+        time.sleep(0.1)
+        waited += 1
+    assert not shuffled() - before and spark.conf.get(ingest.CLEANUP) == setting
