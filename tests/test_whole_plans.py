@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as fv
+from runledger.catalog import load, registry
 from runledger.catalog.standins import Inputs, clear_shared
 from runledger.operators import regression
 from runledger.plans import model_dataset, recommend, training
@@ -78,3 +79,34 @@ def test_dataset_from_raw_tables(spark, basis, azure):
     assert (rows["Azure"]["carbon_intensity_mean"], rows["Azure"]["carbon_days_available"]) == azure and rows["Azure"]["estimated_emissions_gco2eq"] == azure[0] / 2
     assert (rows["AWS"]["carbon_intensity_mean"], rows["AWS"]["workload_type"], rows["AWS"]["region"], rows["AWS"]["machine_type"]) == (400.0, "cpu-heavy", "ap-south-1", "m5.xlarge")
     assert [tuple(r) for r in built["coarse_zones"].collect()] == [("IN", 1, "IN-WE")] and built["many_zones"].isEmpty()
+
+_CHOICE = ["cloud", "region", "electricity_zone", "dataset_size_mb", "workload_type", "machine_type", "nodes", "carbon_intensity_mean", "renewable_percentage_mean", *fv.TARGETS]
+
+
+class _Given:
+    """Tables by name, in place of a folder's."""
+
+    def __init__(self, spark, tables):
+        self.spark, self.tables = spark, tables
+
+    def __call__(self, name):
+        return self.tables[name]
+
+
+def test_every_model_takes_part_in_the_choice(spark, tmp_path, monkeypatch):
+    """The registered choice: all four models are cross-validated and measured, and the best is refitted and scores every cell."""
+    rows = [("aws", "r", f"z{z}", float(s), w, f"m{m}", n, 400.0 + z, 20.0, 1.0 + m + s / n, 0.1 * n + m) for z in (1, 2) for s in (10, 100, 500) for w in ("a", "b") for m in (1, 2) for n in (2, 4)]
+    dataset = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in fv.CATEGORICAL else 'int' if c == 'nodes' else 'double'}" for c in _CHOICE))
+    for model_type, setting in {"random_forest": {"numTrees": 6}, "gradient_boosting": {"maxIter": 4}}.items():
+        monkeypatch.setitem(regression.SETTINGS, model_type, {**regression.SETTINGS[model_type], **setting})
+    seen, choose = [], training.choose_model
+    monkeypatch.setattr(training, "choose_model", lambda *a, **k: seen.append(choose(*a, **k)) or seen[-1])
+    monkeypatch.setattr(registry, "Inputs", lambda spark, folder: _Given(spark, {"dataset": dataset}))
+    found = sorted(tuple(r) for r in load()[0]["j5_chosen_and_saved"](spark, "none").collect())
+    assert found == [("a", 24, 24, 1), ("b", 24, 24, 1)]
+    name, _, report = seen[0]
+    assert {r["model"] for r in report["folds"].select("model").distinct().collect()} == set(regression.LABELS)
+    assert {r["model"] for r in report["predictions"].select("model").distinct().collect()} == set(regression.LABELS.values())
+    assert report["metrics"].count() == 8 and report["averages"].count() == 4
+    scores = {r["model"]: r["r2"] for r in report["folds"].groupBy("model").agg(F.avg("r2").alias("r2")).collect()}
+    assert name == max(scores, key=scores.get)
