@@ -47,8 +47,6 @@ def grouped_summary(df: DataFrame) -> DataFrame:
     )
 
 
-#: Distinct labels that a summary lists; of a column with more it gives the number alone.
-LISTED = 10_000
 _LABELS = {"dataset_size_mb": "dataset_sizes_mb", "workload_type": "workloads", "machine_type": "machine_types", "nodes": "node_counts"}
 
 
@@ -58,19 +56,23 @@ def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.dropna(subset=["value"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def dataset_summary(df: DataFrame, listed: int = LISTED) -> DataFrame:
-    """One row: row count, the distinct labels in order and how many they are, and the range of runtime and cost.
+def dataset_summary(df: DataFrame, listed: int | None = None) -> DataFrame:
+    """One row: row count, all distinct labels in order and how many they are, and the range of runtime and cost.
 
-    The labels are counted as rows first. A list is only gathered from a column
-    with `listed` labels at most, and is null for one with more.
+    The labels are counted as rows first, so a list is made of distinct values
+    alone, and no list goes through the driver. A caller that wants a short
+    document says how many labels may be `listed`: a column with more has null
+    for its list, and label_counts has its labels as rows.
     """
     counts = stage(label_counts(df, [*_LABELS]), "labels")
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    few = counts.join(sizes.filter(F.col("distinct") <= listed), "column", "left_semi")
+    numbers = counts.groupBy().agg(*[F.count_if(F.col("column") == c).alias(f"n_{n}") for c, n in _LABELS.items()])
+    few = counts
+    if listed is not None:
+        sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+        few = counts.join(sizes.filter(F.col("distinct") <= listed), "column", "left_semi")
     lists = few.groupBy().agg(*[
         F.sort_array(F.collect_list(F.when(F.col("column") == c, F.col("value").cast(df.schema[c].dataType)))).alias(n) for c, n in _LABELS.items()
     ])
-    numbers = sizes.groupBy().agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0)).alias(f"n_{n}") for c, n in _LABELS.items()])
 
     def span(column: str, digits: int):
         return F.struct(
@@ -79,9 +81,13 @@ def dataset_summary(df: DataFrame, listed: int = LISTED) -> DataFrame:
         ).alias(column)
 
     whole = df.agg(F.count(F.lit(1)).alias("rows"), span("runtime_minutes", 4), span("cost_usd", 6))
-    facts = stage(lists, "lists").select(F.struct("*")).scalar(), stage(numbers, "numbers").select(F.struct("*")).scalar()
-    labels = [F.when(facts[1][f"n_{n}"] <= listed, facts[0][n]).alias(n) for n in _LABELS.values()]
-    return whole.select("rows", *labels, *[facts[1][f"n_{n}"].alias(f"n_{n}") for n in _LABELS.values()], "runtime_minutes", "cost_usd")
+    # Each part is one row; united and folded into one, they meet in a task.
+    parts = whole.unionByName(lists, allowMissingColumns=True).unionByName(numbers, allowMissingColumns=True)
+    names = ["rows", *_LABELS.values(), *numbers.columns, "runtime_minutes", "cost_usd"]
+    row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    if listed is None:
+        return row
+    return row.withColumns({n: F.when(F.col(f"n_{n}") <= listed, F.col(n)) for n in _LABELS.values()})
 
 
 def mean_cost_by_workload(df: DataFrame) -> DataFrame:

@@ -55,3 +55,21 @@ def test_cheapest_prefix_with_nulls_ties_and_repeats(spark):
         1: ("ok", 5, "b"), 2: ("ok", 5, "a"), 3: ("no_valid_configuration", 5, "b"), 4: ("ok", 5, "a"),
         5: ("unknown_workload", 0, None), 6: ("unknown_workload", 0, None),
     }
+
+
+def test_summary_lists_every_label(spark):
+    """However many there are: the summary's lists are whole, in the order of their type, and as long as the counts."""
+    many = 10_500
+    sizes = F.when(F.col("id") % 2 == 0, (F.col("id") / 4).cast("int"))
+    runs = spark.range(2 * many).select(
+        F.lit("w").alias("workload_type"), sizes.alias("dataset_size_mb"), F.concat(F.lit("m"), F.col("id") % many).alias("machine_type"),
+        (F.col("id") % 3).cast("int").alias("nodes"), (F.col("id") % 7).cast("double").alias("runtime_minutes"), F.lit(1.0).alias("cost_usd"),
+    )
+    row = profile.dataset_summary(runs).first()
+    assert row["rows"] == 2 * many and row["workloads"] == ["w"] and row["node_counts"] == [0, 1, 2]
+    assert row["machine_types"] == sorted(f"m{i}" for i in range(many)) and row["n_machine_types"] == many
+    assert row["dataset_sizes_mb"] == list(range(many // 2)) and row["n_dataset_sizes_mb"] == many // 2
+    assert tuple(row["runtime_minutes"]) == (0.0, 3.0, 6.0) and tuple(row["cost_usd"]) == (1.0, 1.0, 1.0)
+    short = profile.dataset_summary(runs, listed=100).first()
+    assert short["machine_types"] is None and short["n_machine_types"] == many and short["node_counts"] == [0, 1, 2]
+    assert profile.label_counts(runs, ["machine_type"]).filter("rows = 2").count() == many
