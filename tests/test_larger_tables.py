@@ -87,3 +87,21 @@ def test_tied_values_are_not_moved_for_quantiles(spark, monkeypatch):
     assert sorted_rows == []
     check(groups)
     assert len(sorted_rows) == 1 and 20 < sorted_rows[0] < 400
+
+
+def test_large_snapshots_land_compressed_and_go_once_ingested(spark, tmp_path, monkeypatch):
+    """Of 120, 240 and 300 rows: the first lands as plain CSV, the others by gzip, and only the last is left."""
+    lines = [(i, i % 5, i % 3, i % 7, float(i % 50), 100.0 * i, 0.01 * (i % 9), 0.0, "ANR"[i % 3], "O", datetime(1995 + i % 5, 3, 1 + i % 20)) for i in range(300)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i) for i in range(3)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, i) for i in range(5)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(model_queries, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(sinks, "FILE_ROWS", 200)
+    landed, write = [], sinks.write_drop
+    monkeypatch.setattr(sinks, "write_drop", lambda *a, **k: (landed.append(k["compressed"]), write(*a, **k))[1])
+    rows = load()[0]["l1_streamed_runs"](spark, str(tmp_path)).collect()
+    assert sum(r["runs"] for r in rows) == 300 and sum(r["run_numbers"] for r in rows) == sum(i % 40 + 1 for i in range(300))
+    left = list(tmp_path.glob("landing/*/part-*"))
+    assert landed == [False, True, True] and {f.parent.name for f in left} == {"drop=results-3.csv"} and all(f.name.endswith(".csv.gz") for f in left)
+    assert len(list(tmp_path.glob("ingested/batch=*"))) == 3
